@@ -265,3 +265,19 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     out = sigs.select("doc_id", "n_shingles", "key").join(named, "key", "left")
     component = F.when(F.col("key").isNull(), F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def deduplicate(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each class: the one with the least doc_id.
+
+    Repeated rows of that id leave one; rows with a null id all stay.
+    """
+    from pyspark.sql import Window
+
+    found = materialize(near_duplicates(docs, percent, id_col, text_col).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("n")))
+    gone = found.where("NOT kept").select(F.col("doc_id").alias("__gone"))
+    out = docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    if found.where("kept AND n > 1").limit(1).count():
+        one = Window.partitionBy(id_col).orderBy(F.xxhash64(text_col))
+        out = out.withColumn("__n", F.row_number().over(one)).where((F.col("__n") == 1) | F.col(id_col).isNull()).drop("__n")
+    return out

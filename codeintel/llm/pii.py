@@ -10,9 +10,8 @@ same key.
 email   letters and digits of the part before @ (each within digits, a-z or A-Z)
 phone   North American numbers; invalid area or exchange codes keep what makes
         them invalid and permute six digits
-card    13-19 digits (spaces and hyphens stay where they are); all but the last
-        digit are permuted, the last keeps its distance from the Luhn digit, so
-        valid stays valid and invalid stays invalid
+card    13-19 digits with a right Luhn digit (spaces and hyphens stay where they
+        are); all but the last are permuted, the last is the new Luhn digit
 ssn     ddd-dd-dddd with valid area, group and serial
 ip      four octets
 date    yyyy-mm-dd, yyyy/mm/dd, dd/mm/yyyy, dd.mm.yyyy of 1900-2099, by day number
@@ -36,7 +35,7 @@ PATTERNS = {
     "ymd": r"(?<![0-9/-])(?:19|20)[0-9]{2}([-/])(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12][0-9]|3[01])(?![0-9/-])",
     "dmy": r"(?<![0-9/.])(?:0[1-9]|[12][0-9]|3[01])([/.])(?:0[1-9]|1[0-2])\2(?:19|20)[0-9]{2}(?![0-9/])",
     "phone": r"(?<![0-9A-Za-z+])(?:\+1[ .-]?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}|\(?[2-9][0-9]{2}\)?[ .-][2-9][0-9]{2}[ .-][0-9]{4})(?![0-9])",
-    "card": r"(?<![0-9])(?:[0-9][ -]?){12,18}[0-9](?![0-9])",
+    "card": r"(?<![0-9A-Za-z])(?:[0-9]{13,19}|[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{1,7}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9A-Za-z])",
     "ip": rf"(?<![0-9.])(?:{OCTET}\.){{3}}{OCTET}(?!\.?[0-9])",
 }
 ALL = "|".join(PATTERNS.values())
@@ -99,12 +98,12 @@ def _luhn(payload: Column) -> Column:
 def _card(s: Column, key: str) -> Column:
     d = _digits(s)
     n = F.length(d)
-    payload, check = F.substr(d, F.lit(1), n - 1), F.substr(d, n, F.lit(1)).cast("int")
+    payload = F.substr(d, F.lit(1), n - 1)
     power = F.array(*[_long(10**k) for k in range(11)])
     right = F.element_at(power, _div(n - 1, 2).cast("int") + 1)
     left = F.element_at(power, (n - 1 - F.floor((n - 1) / 2)).cast("int") + 1)
     new = F.lpad(feistel(payload.cast("long"), left, right, key, F.concat(F.lit("card"), n.cast("string"))).cast("string"), n - 1, F.lit("0"))
-    return _refill(s, F.concat(new, ((_luhn(new) + check - _luhn(payload) + 10) % 10).cast("string")))
+    return _refill(s, F.concat(new, _luhn(new).cast("string")))
 
 
 def _phone(s: Column, key: str) -> Column:
@@ -141,17 +140,18 @@ def _day(date: Column, key: str) -> Column:
     return F.date_add(F.lit("1900-01-01").cast("date"), feistel(day, _long(319), _long(229), key, "date").cast("int"))
 
 
+def _date_of(s: Column, ymd: bool) -> Column:
+    parts = ((1, 4), (6, 2), (9, 2)) if ymd else ((7, 4), (4, 2), (1, 2))
+    return F.try_to_date(F.concat_ws("-", *[F.substr(s, F.lit(a), F.lit(n)) for a, n in parts]), "yyyy-MM-dd")
+
+
 def _ymd(s: Column, key: str) -> Column:
-    sep = F.substr(s, F.lit(5), F.lit(1))
-    date = F.try_to_date(F.concat_ws("-", F.substr(s, F.lit(1), F.lit(4)), F.substr(s, F.lit(6), F.lit(2)), F.substr(s, F.lit(9), F.lit(2))), "yyyy-MM-dd")
-    return F.when(date.isNotNull(), F.regexp_replace(_day(date, key).cast("string"), F.lit("-"), sep)).otherwise(s)
+    return F.regexp_replace(_day(_date_of(s, True), key).cast("string"), F.lit("-"), F.substr(s, F.lit(5), F.lit(1)))
 
 
 def _dmy(s: Column, key: str) -> Column:
-    sep = F.substr(s, F.lit(3), F.lit(1))
-    date = F.try_to_date(F.concat_ws("-", F.substr(s, F.lit(7), F.lit(4)), F.substr(s, F.lit(4), F.lit(2)), F.substr(s, F.lit(1), F.lit(2))), "yyyy-MM-dd")
-    new = _day(date, key).cast("string")
-    return F.when(date.isNotNull(), F.concat(F.substr(new, F.lit(9), F.lit(2)), sep, F.substr(new, F.lit(6), F.lit(2)), sep, F.substr(new, F.lit(1), F.lit(4)))).otherwise(s)
+    sep, new = F.substr(s, F.lit(3), F.lit(1)), _day(_date_of(s, False), key).cast("string")
+    return F.concat(F.substr(new, F.lit(9), F.lit(2)), sep, F.substr(new, F.lit(6), F.lit(2)), sep, F.substr(new, F.lit(1), F.lit(4)))
 
 
 def _shift(part: Column, noise: Column) -> Column:
@@ -186,14 +186,16 @@ def _email(s: Column, key: str) -> Column:
 
 
 def kind_of(value: Column) -> Column:
-    """Which format a match of ``ALL`` has."""
+    """Which format a match of ``ALL`` has; ``other`` for what doesn't validate."""
+    digits = _digits(value)
+    n = F.length(digits)
     return (
         F.when(F.contains(value, F.lit("@")), F.lit("email"))
         .when(value.rlike(rf"^(?:{OCTET}\.){{3}}{OCTET}$"), F.lit("ip"))
         .when(value.rlike(r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), F.lit("ssn"))
-        .when(value.rlike(r"^[0-9]{4}[-/][0-9]{2}[-/][0-9]{2}$"), F.lit("ymd"))
-        .when(value.rlike(r"^[0-9]{2}[/.][0-9]{2}[/.][0-9]{4}$"), F.lit("dmy"))
-        .when(F.length(_digits(value)) >= 13, F.lit("card"))
+        .when(value.rlike(r"^[0-9]{4}[-/][0-9]{2}[-/][0-9]{2}$"), F.when(_date_of(value, True).isNotNull(), F.lit("ymd")).otherwise(F.lit("other")))
+        .when(value.rlike(r"^[0-9]{2}[/.][0-9]{2}[/.][0-9]{4}$"), F.when(_date_of(value, False).isNotNull(), F.lit("dmy")).otherwise(F.lit("other")))
+        .when(n >= 13, F.when(_luhn(F.substr(digits, F.lit(1), n - 1)) == F.substr(digits, n, F.lit(1)).cast("int"), F.lit("card")).otherwise(F.lit("other")))
         .otherwise(F.lit("phone"))
     )
 
