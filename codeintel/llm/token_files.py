@@ -46,32 +46,57 @@ def _length_table(bits: int) -> np.ndarray:
     return (codes + 1).astype(np.int64)
 
 
-def svb_encode(values: np.ndarray, bits: int) -> tuple[bytes, bytes]:
-    """(control bytes, data bytes) of unsigned values."""
-    v = values.astype(np.uint32)
-    n, per = len(v), 8 // bits
-    if not n:
-        return b"", b""
+def svb_encode_many(values: np.ndarray, counts: np.ndarray, bits: int) -> tuple[bytes, np.ndarray, bytes, np.ndarray]:
+    """(control, its ends, data, its ends) of many runs of values laid end to end."""
+    v = values.astype("<u4")
+    per = 8 // bits
     size = 1 + (v > 0xFF).astype(np.int64) + (v > 0xFFFF) + (v > 0xFFFFFF)
-    code = np.zeros(-(-n // per) * per, np.uint32)
-    code[:n] = size - 1
+    groups = -(-counts // per)
+    ends = np.cumsum(groups)
+    code = np.zeros(int(ends[-1]) * per if len(ends) else 0, np.uint32)
+    at = np.arange(len(v)) + np.repeat((ends - groups) * per - (np.cumsum(counts) - counts), counts)
+    code[at] = size - 1
     control = (code.reshape(-1, per) << (bits * np.arange(per, dtype=np.uint32))).sum(axis=1).astype(np.uint8)
-    raw = v.astype("<u4").view(np.uint8).reshape(-1, 4)
-    return control.tobytes(), raw[np.arange(4)[None, :] < size[:, None]].tobytes()
+    width = int(size.max()) if len(v) else 1
+    data = v.view(np.uint8).reshape(-1, 4)[:, :width][np.arange(width)[None, :] < size[:, None]]
+    total = np.concatenate([[0], np.cumsum(size)])
+    return control.tobytes(), ends, data.tobytes(), total[np.cumsum(counts)]
+
+
+def svb_encode(values: np.ndarray, bits: int) -> tuple[bytes, bytes]:
+    """(control bytes, data bytes) of unsigned values."""
+    control, _, data, _ = svb_encode_many(values, np.array([len(values)]), bits)
+    return control, data
 
 
 def svb_decode(control: bytes, data: bytes, n: int, bits: int) -> np.ndarray:
     """The ``n`` values of :func:`svb_encode`, by table lookup."""
     size = _length_table(bits)[np.frombuffer(control, np.uint8)].reshape(-1)[:n]
+    return _gather(np.frombuffer(data, np.uint8), size)
+
+
+def _gather(raw: np.ndarray, size: np.ndarray) -> np.ndarray:
     at = np.cumsum(size) - size
-    raw = np.frombuffer(data, np.uint8)
-    out = np.zeros(n, np.uint32)
-    for k in range(int(size.max()) if n else 0):
-        has = size > k
+    out = raw[at].astype(np.uint32) if len(size) else np.zeros(0, np.uint32)
+    for k in range(1, int(size.max()) if len(size) else 0):
+        has = np.flatnonzero(size > k)
         out[has] |= raw[at[has] + k].astype(np.uint32) << np.uint32(8 * k)
     return out
 
 
+def _cells(data: bytes, ends: np.ndarray) -> pa.Array:
+    offsets = np.concatenate([[0], ends]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data)])
+
+
+def _flat(column: pa.Array, dtype: str) -> tuple[np.ndarray, np.ndarray]:
+    """All values of a binary column end to end, and how many each row has."""
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    return raw[at[0] : at[-1]].view(dtype), np.diff(at) // np.dtype(dtype).itemsize
+
+
 # ----- files ------------------------------------------------------------------
 def _fs(uri: str):
     from pyarrow import fs
@@ -108,17 +133,22 @@ def read_file(blob: bytes, ranks: np.ndarray, bits: int) -> Iterator[tuple[int |
     count = np.frombuffer(blob, "<u4", n, at + 9 * n).astype(np.int64)
     at += 13 * n
     per = 8 // bits
-    c_len = -(-count // per)
     table = _length_table(bits)
-    view = memoryview(blob)
-    c_at, d_at = at, at + n_control
-    for i in range(n):
-        control = view[c_at : c_at + c_len[i]]
-        size = table[np.frombuffer(control, np.uint8)].reshape(-1)[: count[i]]
-        n_bytes = int(size.sum())
-        yield (None if null[i] else int(ids[i])), ranks[svb_decode(control, view[d_at : d_at + n_bytes], int(count[i]), bits)]
-        c_at += int(c_len[i])
-        d_at += n_bytes
+    groups = -(-count // per)
+    raw = np.frombuffer(blob, np.uint8)
+    c_at, d_at, i = at, at + n_control, 0
+    while i < n:
+        # as many documents as make about a million tokens
+        j = max(i + 1, int(np.searchsorted(np.cumsum(count[i:]), 1_000_000, "right")) + i)
+        g, c = groups[i:j], count[i:j]
+        size = table[raw[c_at : c_at + int(g.sum())]].reshape(-1)
+        real = np.arange(int(c.sum())) + np.repeat((np.cumsum(g) - g) * per - (np.cumsum(c) - c), c)
+        size = size[real]
+        values = ranks[_gather(raw[d_at : d_at + int(size.sum())], size)]
+        ends = np.cumsum(c).tolist()
+        for k, (a, b) in enumerate(zip([0, *ends[:-1]], ends, strict=True)):
+            yield (None if null[i + k] else int(ids[i + k])), values[a:b]
+        c_at, d_at, i = c_at + int(g.sum()), d_at + int(size.sum()), j
     if d_at != at + n_control + n_data:
         raise ValueError("token file is damaged")
 
@@ -147,8 +177,7 @@ def frequency_ranks(tokens: DataFrame, vocab: int, dtype: str) -> np.ndarray:
     def count(batches):
         total = np.zeros(vocab, np.int64)
         for b in batches:
-            for x in b.column(0):
-                total += np.bincount(np.frombuffer(x.as_buffer(), dtype), minlength=vocab)
+            total += np.bincount(_flat(b.column(0), dtype)[0], minlength=vocab)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=["id", "n"])
 
@@ -181,12 +210,9 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 0, out: str
 
     def code(batches):
         for b in batches:
-            n, control, data = [], [], []
-            for x in b.column(1):
-                v = rank_of[np.frombuffer(x.as_buffer(), dtype)]
-                c, d = svb_encode(v, bits)
-                n.append(len(v)), control.append(c), data.append(d)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(control, pa.binary()), pa.array(data, pa.binary())], names=["doc_id", "n", "control", "data"])
+            values, n = _flat(b.column(1), dtype)
+            control, c_ends, data, d_ends = svb_encode_many(rank_of[values], n, bits)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), _cells(control, c_ends), _cells(data, d_ends)], names=["doc_id", "n", "control", "data"])
 
     target = _arrow_schema("part int, path string, n_docs bigint, n_tokens bigint")
 

@@ -19,6 +19,7 @@ from array import array
 import numpy as np
 
 _ODD = "\x1c\x1d\x1e\x1f"
+_PAIRS = ("  ", " \n", "\n ", "\n\n", "\t", "\r", "\x0b", "\x0c")
 SPACE, NEWLINE = "\u0120", "\u010a"  # byte-level letters for a space and a line feed
 
 
@@ -136,7 +137,11 @@ class ChunkEncoder:
             return None
         if self.kind == "word":
             return text.split()
-        if len(text.split()) != text.count(" ") + text.count("\n") + 1:
+        if text.isascii():
+            # single spaces and line feeds only, none at an end
+            if any(c in text for c in _PAIRS) or text[0] in " \n" or text[-1] in " \n":
+                return None
+        elif len(text.split()) != text.count(" ") + text.count("\n") + 1:
             return None
         keys = text.replace("\n", " \x00").split(" ")
         if keys[0][:1] != "\x00":
