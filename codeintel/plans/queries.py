@@ -1,0 +1,320 @@
+"""The engine's queries over the driver's tables, each with a DuckDB oracle."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions.ids import stable_id, tree_hash
+from ..functions.redact import findings, redact
+from ..functions.text import split_identifier, stem
+from ..operators import graph, search
+from ..sources import views as v
+from ..streaming.debounce import bursts
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+TERMS = ["the", "idiot", "license", "de", "attion"]
+
+
+def query(sql: str | None = None) -> Callable:
+    def add(f: Callable) -> Callable:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+SYM = """sym AS (SELECT p_partkey AS symbol_id, p_name AS name, p_brand || '.' || p_name AS qualified_name, p_type AS kind, p_size AS complexity,
+ p_partkey % 3 = 0 AS is_exported, 'part/' || (p_partkey % 97) AS rel_path, CAST(p_partkey % 50 * 10 + 1 AS INT) AS start_line, CAST(p_partkey % 50 * 10 + 1 + p_size AS INT) AS end_line FROM part)"""
+CF = "cf AS (SELECT DISTINCT l_orderkey AS sha, 'part/' || (l_partkey % 97) AS rel_path FROM lineitem)"
+FILES = """files AS (SELECT source AS repo_id, source || '/' || lang || '/doc_' || doc_id || '.txt' AS rel_path, lang AS language, CAST(strlen(text) AS BIGINT) AS size_bytes,
+ CAST(CASE WHEN text = '' THEN 0 ELSE length(text) - length(replace(text, chr(10), '')) + 1 END AS INT) AS line_count, sha256(text) AS content_hash, doc_id % 7 = 0 AS is_test FROM documents)"""
+CALL = "e AS (SELECT DISTINCT user_id AS from_id, to_id FROM (SELECT user_id, lead(user_id) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS to_id FROM events) WHERE to_id IS NOT NULL)"
+RING = "e AS (SELECT s_suppkey AS from_id, (s_suppkey + 7 * j) % (SELECT count(*) FROM supplier) AS to_id FROM supplier, (VALUES (1), (2), (3)) AS t(j))"
+CHUNKS = """l AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents),
+chunks AS (SELECT doc_id, s AS start_line, least(s + 19, len(lines)) AS end_line, array_to_string(lines[s:least(s + 19, len(lines))], chr(10)) AS text
+ FROM (SELECT doc_id, lines, unnest(range(1, greatest(1, len(lines) - 5) + 1, 15)) AS s FROM l))"""
+TOK = r"regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}\p{Co}]+')"
+
+
+# ----- history ------------------------------------------------------------------
+@query(f"""WITH {SYM}, {CF}, churn AS (SELECT rel_path, count(*) AS churn FROM cf GROUP BY 1),
+cx AS (SELECT rel_path, sum(complexity) AS complexity, arg_min(qualified_name, (-complexity, CASE WHEN is_exported THEN 0 ELSE 1 END, name, symbol_id)) AS top_symbol FROM sym GROUP BY 1)
+SELECT rel_path, churn, CAST(complexity AS BIGINT) AS complexity, CAST(churn * complexity AS BIGINT) AS score, top_symbol FROM churn JOIN cx USING (rel_path) ORDER BY score DESC, rel_path LIMIT 15""")
+def hotspots(spark, d):
+    churn = v.commit_files(spark, d).groupBy("rel_path").agg(F.count("*").alias("churn"))
+    order = F.struct(-F.col("complexity"), F.when(F.col("is_exported"), 0).otherwise(1), "name", "symbol_id")
+    cx = v.symbols(spark, d).groupBy("rel_path").agg(F.sum("complexity").alias("complexity"), F.min_by("qualified_name", order).alias("top_symbol"))
+    out = churn.join(cx, "rel_path").select("rel_path", "churn", "complexity", (F.col("churn") * F.col("complexity")).alias("score"), "top_symbol")
+    return out.orderBy(F.desc("score"), "rel_path").limit(15)
+
+
+@query(f"WITH {CF} SELECT rel_path, count(*) AS churn FROM cf JOIN orders ON sha = o_orderkey WHERE o_orderdate >= TIMESTAMP '1996-01-01' GROUP BY 1")
+def file_churn(spark, d):
+    since = v.commits(spark, d).where(F.col("ts") >= F.lit("1996-01-01").cast("timestamp"))
+    return v.commit_files(spark, d).join(since, "sha").groupBy("rel_path").agg(F.count("*").alias("churn"))
+
+
+@query("SELECT o_orderkey AS sha, o_custkey AS author, o_orderdate AS ts FROM orders WHERE o_orderstatus <> 'P' ORDER BY o_orderdate DESC, o_orderkey LIMIT 100")
+def recent_commits(spark, d):
+    return v.commits(spark, d).where("NOT is_merge").select("sha", "author", "ts").orderBy(F.desc("ts"), "sha").limit(100)
+
+
+@query("SELECT o_custkey AS author, count(*) AS commits, max(o_orderdate) AS last_ts FROM orders GROUP BY 1")
+def contributors(spark, d):
+    return v.commits(spark, d).groupBy("author").agg(F.count("*").alias("commits"), F.max("ts").alias("last_ts"))
+
+
+# ----- symbols ------------------------------------------------------------------
+@query(f"WITH {SYM} SELECT symbol_id, name, kind, complexity, is_exported FROM sym WHERE name = (SELECT max(name) FROM sym) ORDER BY is_exported DESC, complexity DESC, name, symbol_id LIMIT 50")
+def find_symbol_exact(spark, d):
+    s = v.symbols(spark, d)
+    last = s.agg(F.max("name").alias("name"))
+    return s.join(F.broadcast(last), "name").select("symbol_id", "name", "kind", "complexity", "is_exported").orderBy(F.desc("is_exported"), F.desc("complexity"), "name", "symbol_id").limit(50)
+
+
+@query(f"WITH {SYM} SELECT symbol_id, name, kind, complexity, is_exported FROM sym WHERE lower(name) LIKE '%part 1%' OR lower(name) LIKE '%a%' ORDER BY is_exported DESC, complexity DESC, name, symbol_id LIMIT 50")
+def find_symbol_substring(spark, d):
+    low = F.translate("name", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    s = v.symbols(spark, d).where(low.contains("part 1") | low.contains("a"))
+    return s.select("symbol_id", "name", "kind", "complexity", "is_exported").orderBy(F.desc("is_exported"), F.desc("complexity"), "name", "symbol_id").limit(50)
+
+
+@query(f"""WITH {SYM}, q AS (SELECT DISTINCT rel_path, 1 + l * 37 AS line FROM sym, (VALUES (1), (5), (9)) AS t(l))
+SELECT q.rel_path, CAST(q.line AS INT) AS line, arg_min(symbol_id, (end_line - start_line, symbol_id)) AS symbol_id FROM q JOIN sym ON q.rel_path = sym.rel_path AND start_line <= line AND end_line >= line GROUP BY 1, 2""")
+def symbol_at_line(spark, d):
+    s = v.symbols(spark, d)
+    q = s.select("rel_path").distinct().select("rel_path", F.explode(F.array(F.lit(38), F.lit(186), F.lit(334))).alias("line"))
+    hit = q.join(s, "rel_path").where("start_line <= line AND end_line >= line")
+    return hit.groupBy("rel_path", "line").agg(F.min_by("symbol_id", F.struct(F.col("end_line") - F.col("start_line"), "symbol_id")).alias("symbol_id"))
+
+
+@query(f"WITH {SYM} SELECT symbol_id, CAST(row_number() OVER (PARTITION BY rel_path, kind ORDER BY symbol_id) - 1 AS INT) AS ordinal FROM sym")
+def symbol_ordinals(spark, d):
+    w = Window.partitionBy("rel_path", "kind").orderBy("symbol_id")
+    return v.symbols(spark, d).select("symbol_id", (F.row_number().over(w) - 1).alias("ordinal"))
+
+
+@query("SELECT p_partkey AS symbol_id FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity = 50)")
+def unreferenced(spark, d):
+    used = v.table(spark, d, "lineitem").where("l_quantity = 50").select(F.col("l_partkey").alias("symbol_id"))
+    return v.table(spark, d, "part").select(F.col("p_partkey").alias("symbol_id")).join(used, "symbol_id", "left_anti")
+
+
+@query(f"WITH {SYM} SELECT symbol_id, complexity, CASE WHEN complexity >= 50 THEN 'high' ELSE 'medium' END AS severity FROM sym WHERE complexity >= 25 ORDER BY complexity DESC, symbol_id LIMIT 15")
+def complexity_spikes(spark, d):
+    s = v.symbols(spark, d).where("complexity >= 25")
+    return s.select("symbol_id", "complexity", F.when(F.col("complexity") >= 50, "high").otherwise("medium").alias("severity")).orderBy(F.desc("complexity"), "symbol_id").limit(15)
+
+
+# ----- files --------------------------------------------------------------------
+@query(f"WITH {FILES} SELECT * FROM files")
+def file_catalogue(spark, d):
+    return v.files(spark, d).drop("file_id")
+
+
+@query(f"WITH {FILES} SELECT 'f_' || left(replace(replace(to_base64(unhex(sha1('file' || chr(0) || repo_id || chr(0) || rel_path))), '+', '-'), '/', '_'), 22) AS file_id, rel_path FROM files")
+def stable_ids(spark, d):
+    return v.files(spark, d).select("file_id", "rel_path")
+
+
+@query(f"WITH {FILES} SELECT repo_id, sha256(string_agg(content_hash, '' ORDER BY rel_path)) AS tree_hash FROM files GROUP BY 1")
+def tree_hashes(spark, d):
+    return v.files(spark, d).groupBy("repo_id").agg(tree_hash(F.col("rel_path"), F.col("content_hash")).alias("tree_hash"))
+
+
+@query(f"WITH {FILES} SELECT language, count(*) AS n, CAST(sum(size_bytes) AS BIGINT) AS bytes, count(*) FILTER (is_test) AS tests FROM files GROUP BY 1")
+def files_by_language(spark, d):
+    return v.files(spark, d).groupBy("language").agg(F.count("*").alias("n"), F.sum("size_bytes").alias("bytes"), F.count_if("is_test").alias("tests"))
+
+
+@query(f"WITH {FILES} SELECT rel_path, size_bytes FROM files WHERE size_bytes > 20000 ORDER BY size_bytes DESC, rel_path LIMIT 15")
+def large_files(spark, d):
+    return v.files(spark, d).where("size_bytes > 20000").select("rel_path", "size_bytes").orderBy(F.desc("size_bytes"), "rel_path").limit(15)
+
+
+@query(f"WITH {FILES} SELECT prefix, count(*) AS n FROM (SELECT repo_id AS prefix FROM files UNION ALL SELECT repo_id || '/' || language FROM files) GROUP BY 1")
+def folder_tree(spark, d):
+    parts = F.split("rel_path", "/")
+    prefixes = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))
+    return v.files(spark, d).select(F.explode(prefixes).alias("prefix")).groupBy("prefix").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {FILES}, a AS (SELECT * FROM files), t AS (SELECT DISTINCT repo_id || '/' || language AS dir FROM files WHERE is_test)
+SELECT repo_id || '/' || language AS dir, count(*) AS n FROM a WHERE repo_id || '/' || language NOT IN (SELECT dir FROM t) GROUP BY 1 HAVING count(*) >= 1""")
+def untested_dirs(spark, d):
+    f = v.files(spark, d).select(F.concat_ws("/", "repo_id", "language").alias("dir"), "is_test")
+    tested = f.where("is_test").select("dir").distinct()
+    return f.join(tested, "dir", "left_anti").groupBy("dir").agg(F.count("*").alias("n"))
+
+
+@query("""WITH old AS (SELECT doc_id, sha256(text) AS h FROM documents WHERE doc_id % 11 <> 0), new AS (SELECT doc_id, sha256(CASE WHEN doc_id % 13 = 0 THEN text || '!' ELSE text END) AS h FROM documents WHERE doc_id % 17 <> 0)
+SELECT coalesce(old.doc_id, new.doc_id) AS doc_id, CASE WHEN old.h IS NULL THEN 'added' WHEN new.h IS NULL THEN 'removed' WHEN old.h = new.h THEN 'unchanged' ELSE 'changed' END AS state FROM old FULL JOIN new ON old.doc_id = new.doc_id""")
+def hash_diff(spark, d):
+    docs = v.table(spark, d, "documents")
+    old = docs.where("doc_id % 11 <> 0").select("doc_id", F.sha2("text", 256).alias("old"))
+    new = docs.where("doc_id % 17 <> 0").select("doc_id", F.sha2(F.when(F.col("doc_id") % 13 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")), 256).alias("new"))
+    state = F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed").when(F.col("old") == F.col("new"), "unchanged").otherwise("changed")
+    return old.join(new, "doc_id", "full").select("doc_id", state.alias("state"))
+
+
+@query("""WITH b AS (SELECT doc_id, strlen(text) AS n FROM documents), r AS (SELECT doc_id, n, sum(n) OVER (ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS used FROM b)
+SELECT doc_id, CAST(used AS BIGINT) AS used FROM r WHERE used <= 47488""")
+def budget_prefix(spark, d):
+    w = Window.orderBy("doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    docs = v.table(spark, d, "documents").select("doc_id", F.octet_length("text").cast("long").alias("n")).orderBy("doc_id").limit(47489)
+    return docs.select("doc_id", F.sum("n").over(w).alias("used")).where("used <= 47488")
+
+
+# ----- imports ------------------------------------------------------------------
+LINKS = "links AS (SELECT page_id, regexp_extract(h, '^/?([^/?#]{3,})', 1) AS pkg, h AS specifier FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]+)\"', 1)) AS h FROM pages))"
+
+
+def _links(spark, d):
+    h = F.explode(F.regexp_extract_all("html", F.lit('href="([^"]+)"'), F.lit(1)))
+    return v.table(spark, d, "pages").select("page_id", h.alias("specifier")).withColumn("pkg", F.regexp_extract("specifier", "^/?([^/?#]{3,})", 1))
+
+
+@query(f"WITH {LINKS} SELECT pkg, count(DISTINCT page_id) AS n_files FROM links WHERE pkg <> '' GROUP BY 1")
+def external_usage(spark, d):
+    return _links(spark, d).where("pkg <> ''").groupBy("pkg").agg(F.countDistinct("page_id").alias("n_files"))
+
+
+@query(f"WITH {LINKS} SELECT specifier, count(*) AS n FROM links WHERE pkg = '' GROUP BY 1")
+def unresolved(spark, d):
+    return _links(spark, d).where("pkg = ''").groupBy("specifier").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {LINKS} SELECT DISTINCT page_id FROM links WHERE specifier IN (SELECT specifier FROM links WHERE page_id < 5)")
+def dependents(spark, d):
+    x = _links(spark, d)
+    return x.join(x.where("page_id < 5").select("specifier").distinct(), "specifier", "left_semi").select("page_id").distinct()
+
+
+# ----- text ---------------------------------------------------------------------
+@query(r"""SELECT p_partkey, array_to_string(list_filter(regexp_split_to_array(lower(regexp_replace(regexp_replace(n, '([a-z0-9])([A-Z])', '\1 \2', 'g'), '([A-Z]+)([A-Z][a-z])', '\1 \2', 'g')), '[^a-z0-9]+'), lambda x: x <> ''), ' ') AS words
+FROM (SELECT p_partkey, replace(p_name, ' ', '') || '_HTTPServer' || p_brand || '-x' AS n FROM part)""")
+def split_identifiers(spark, d):
+    n = F.concat(F.replace("p_name", F.lit(" "), F.lit("")), F.lit("_HTTPServer"), "p_brand", F.lit("-x"))
+    return v.table(spark, d, "part").select("p_partkey", F.array_join(split_identifier(n), " ").alias("words"))
+
+
+@query(r"""WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM documents)
+SELECT w AS word, CASE WHEN length(w) < 4 THEN NULL WHEN w LIKE '%ies' AND length(w) > 4 THEN left(w, length(w) - 3) || 'y' WHEN w LIKE '%sses' THEN left(w, length(w) - 2)
+ WHEN regexp_matches(w, '(ch|sh|x|z|s)es$') AND length(w) > 4 THEN left(w, length(w) - 2) WHEN w LIKE '%s' AND NOT regexp_matches(w, '(ss|us|is)$') THEN left(w, length(w) - 1)
+ WHEN w LIKE '%ing' AND length(w) >= 7 THEN left(w, length(w) - 3) WHEN w LIKE '%ed' AND length(w) >= 6 THEN left(w, length(w) - 2) END AS stem FROM w""")
+def stems(spark, d):
+    w = v.table(spark, d, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("word")).distinct()
+    return w.select("word", stem(F.col("word")).alias("stem"))
+
+
+@query()
+def redacted_documents(spark, d):
+    docs = v.table(spark, d, "documents")
+    return docs.select("doc_id", F.sha2(redact(F.col("text")), 256).alias("text_sha256"), *[n.cast("long").alias(k) for k, n in findings(F.col("text")).items()])
+
+
+@query(f"WITH {CHUNKS} SELECT doc_id, CAST(start_line AS INT) AS start_line, CAST(end_line AS INT) AS end_line, sha256(text) AS h FROM chunks")
+def chunk_windows(spark, d):
+    return v.chunks(spark, d).select("doc_id", "start_line", "end_line", F.sha2("text", 256).alias("h"))
+
+
+# ----- search -------------------------------------------------------------------
+def _bm25_sql(limit: str = "") -> str:
+    tf = ", ".join(f"len(list_filter(tok, lambda w: w = '{t}')) AS tf{i}" for i, t in enumerate(TERMS))
+    st = ", ".join(f"count(*) FILTER (tf{i} > 0) AS df{i}" for i in range(len(TERMS)))
+    sc = " + ".join(f"CASE WHEN tf{i} > 0 THEN greatest(ln((n - df{i} + 0.5) / (df{i} + 0.5)), 1e-6) * tf{i} * 2.2 / (tf{i} + 1.2 * (0.25 + 0.75 * dl / avgdl)) ELSE 0 END" for i in range(len(TERMS)))
+    return f"t AS (SELECT doc_id, {TOK} AS tok FROM documents), f AS (SELECT doc_id, len(tok) AS dl, {tf} FROM t), st AS (SELECT count(*) AS n, avg(dl) AS avgdl, {st} FROM f), bm AS (SELECT doc_id, {sc} AS score FROM f, st WHERE {' OR '.join(f'tf{i} > 0' for i in range(len(TERMS)))})"
+
+
+def _bm25(spark, d):
+    return search.bm25(v.table(spark, d, "documents").select("doc_id", "text"), TERMS, "doc_id")
+
+
+@query(f"WITH {_bm25_sql()} SELECT doc_id, round(score, 6) AS score FROM bm")
+def bm25(spark, d):
+    return _bm25(spark, d).select("doc_id", F.round("score", 6).alias("score"))
+
+
+FUSED = """lex AS (SELECT doc_id, row_number() OVER (ORDER BY round(score, 9) DESC, doc_id) - 1 AS rank FROM bm), len AS (SELECT doc_id, row_number() OVER (ORDER BY n_chars DESC, doc_id) - 1 AS rank FROM documents),
+fused AS (SELECT doc_id, sum(1.0::DOUBLE / (60 + rank + 1)) AS fused FROM (SELECT * FROM lex WHERE rank < 60 UNION ALL SELECT * FROM len WHERE rank < 60) GROUP BY 1)"""
+
+
+def _fused(spark, d):
+    by_length = v.table(spark, d, "documents").select("doc_id", F.col("n_chars").cast("double").alias("score"))
+    return search.fuse([search.top(_bm25(spark, d), "doc_id", 60), search.top(by_length, "doc_id", 60)], "doc_id")
+
+
+@query(f"WITH {_bm25_sql()}, {FUSED} SELECT doc_id, round(fused, 8) AS fused FROM fused")
+def rrf(spark, d):
+    return _fused(spark, d).select("doc_id", F.round("fused", 8).alias("fused"))
+
+
+@query(f"""WITH {_bm25_sql()}, {FUSED}, inb AS (SELECT l_partkey AS k, least(count(*), 40) AS inbound FROM lineitem GROUP BY 1)
+SELECT doc_id, round(fused * (1 + 0.35 * least(1.0, ln(1 + coalesce(inbound, 0)) / ln(41.0)) + CASE WHEN doc_id % 3 = 0 THEN 0.105 ELSE 0 END) * CASE WHEN doc_id % 7 = 0 THEN 0.6 ELSE 1 END, 6) AS score
+FROM fused LEFT JOIN inb ON k = doc_id ORDER BY round(score, 6) DESC, doc_id LIMIT 12""")
+def search_documents(spark, d):
+    inbound = graph.degrees(v.table(spark, d, "lineitem").select(F.col("l_partkey").alias("to_id")))
+    x = _fused(spark, d).join(inbound, F.col("doc_id") == F.col("node"), "left").select("doc_id", "fused", F.coalesce("inbound", F.lit(0)).alias("inbound"), (F.col("doc_id") % 3 == 0).alias("is_exported"), (F.col("doc_id") % 7 == 0).alias("is_test"))
+    return search.rerank(x).select("doc_id", F.round("final", 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(12)
+
+
+@query("""WITH q AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 0) SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], q::DOUBLE[]), 5) AS cosine FROM embeddings, q ORDER BY list_cosine_similarity(embedding::DOUBLE[], q::DOUBLE[]) DESC, vec_id LIMIT 10""")
+def vector_topk(spark, d):
+    e = v.table(spark, d, "embeddings")
+    q = F.lit([float(x) for x in e.where("vec_id = 0").first()["embedding"]])
+
+    def dot(a, b):
+        return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+
+    cos = dot(F.col("embedding"), q) / F.sqrt(dot(F.col("embedding"), F.col("embedding")) * dot(q, q))
+    return e.select("vec_id", cos.alias("c")).orderBy(F.desc("c"), "vec_id").limit(10).select("vec_id", F.round("c", 5).alias("cosine"))
+
+
+# ----- graph --------------------------------------------------------------------
+@query(f"WITH {CALL} SELECT to_id AS node, least(count(*), 40) AS inbound FROM e GROUP BY 1")
+def inbound_degree(spark, d):
+    return graph.degrees(v.call_edges(spark, d))
+
+
+@query(f"WITH {CALL} SELECT from_id AS node FROM e WHERE from_id = to_id")
+def self_loops(spark, d):
+    return v.call_edges(spark, d).where("from_id = to_id").select(F.col("from_id").alias("node"))
+
+
+@query(f"WITH RECURSIVE {RING}, r(node, depth) AS (SELECT 1::BIGINT, 0 UNION SELECT e.to_id, depth + 1 FROM r JOIN e ON e.from_id = r.node WHERE depth < 6) SELECT node, min(depth) AS depth FROM r WHERE node <> 1 GROUP BY 1")
+def reachable(spark, d):
+    return graph.reachable(v.ring_edges(spark, d), [1], 6)
+
+
+@query("WITH RECURSIVE r(node, depth) AS (SELECT max(p_partkey), 0 FROM part UNION ALL SELECT node // 2, depth + 1 FROM r WHERE node >= 2) SELECT depth AS step, node FROM r WHERE depth <= 12 AND (SELECT max(p_partkey) FROM part) < 8192")
+def shortest_path(spark, d):
+    edges = v.tree_edges(spark, d)
+    top = v.table(spark, d, "part").agg(F.max("p_partkey")).first()[0]
+    path = graph.shortest_path(edges, top, 1) or []
+    return spark.createDataFrame(list(enumerate(path)), "step int, node long")
+
+
+@query(f"""WITH RECURSIVE {RING}, f(a, b) AS (SELECT from_id, to_id FROM e UNION SELECT f.a, e.to_id FROM f JOIN e ON e.from_id = f.b)
+SELECT x.a AS node, min(x.b) AS component FROM f x JOIN f y ON x.a = y.b AND x.b = y.a GROUP BY 1 HAVING count(DISTINCT x.b) > 1""")
+def strong_components(spark, d):
+    return graph.strong_components(v.ring_edges(spark, d))
+
+
+@query(f"WITH {CALL} SELECT from_id // 10 AS from_group, to_id // 10 AS to_group, count(*) AS weight FROM e WHERE from_id // 10 <> to_id // 10 GROUP BY 1, 2")
+def dependency_pairs(spark, d):
+    g = v.call_edges(spark, d).select(F.floor(F.col("from_id") / 10).cast("long").alias("from_group"), F.floor(F.col("to_id") / 10).cast("long").alias("to_group"))
+    return g.where("from_group <> to_group").groupBy("from_group", "to_group").agg(F.count("*").alias("weight"))
+
+
+# ----- streams ------------------------------------------------------------------
+@query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts <= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM events),
+s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS k FROM g)
+SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 6 HOUR AS stop, count(*) AS n FROM s GROUP BY user_id, k""")
+def debounce_sessions(spark, d):
+    return bursts(v.table(spark, d, "events").select("user_id", "ts"), "user_id", "6 hours")

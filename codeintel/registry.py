@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
-FLAGSHIP = "search"
+from .plans.queries import ORACLES, QUERIES
+
+FLAGSHIP = "search_documents"
+
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
