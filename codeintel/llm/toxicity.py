@@ -57,7 +57,7 @@ def feature_ids(word: str) -> list[int]:
 class Emissions:
     """Toxic-state scores of words, remembered in two bounded generations."""
 
-    def __init__(self, weights: np.ndarray, bias: float, limit: int = 400_000):
+    def __init__(self, weights: np.ndarray, bias: float, limit: int = 300_000):
         self.w, self.bias, self.limit = weights, bias, limit
         self.new: dict[str, float] = {}
         self.old: dict[str, float] = {}
@@ -151,16 +151,26 @@ def evidence(m: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
-def _toxic_units(docs: list[list[str]], labels: list[int]) -> set[str]:
-    """Units in significantly more toxic documents than chance gives."""
-    seen: tuple[Counter, Counter] = (Counter(), Counter())
-    for words, y in zip(docs, labels, strict=True):
-        seen[y].update({u for w in set(words) for u in units(w)})
+def _toxic_units(texts: list[str], labels: list[int], least: int = 5) -> set[str]:
+    """Units in significantly more toxic documents than chance gives.
+
+    Only units of at least ``least`` toxic documents are counted in clean ones.
+    """
+    seen: Counter = Counter()
+    for t, y in zip(texts, labels, strict=True):
+        if y:
+            seen.update({u for w in set(words_of(t)) for u in units(w)})
+    need = math.log(max(2, len(seen))) + math.log(100)
+    seen = Counter({u: n for u, n in seen.items() if n >= least})
+    clean = dict.fromkeys(seen, 0)
+    for t, y in zip(texts, labels, strict=True):
+        if not y:
+            for u in {u for w in set(words_of(t)) for u in units(w) if u in clean}:
+                clean[u] += 1
     p = sum(labels) / len(labels)
-    need = math.log(max(2, len(seen[1]))) + math.log(100)
     out = set()
-    for u, k in seen[1].items():
-        n = k + seen[0][u]
+    for u, k in seen.items():
+        n = k + clean[u]
         r = k / n
         kl = r * math.log(r / p) + ((1 - r) * math.log((1 - r) / (1 - p)) if r < 1 else 0)
         if r > max(0.5, p) and n * kl >= need:
@@ -185,7 +195,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30))), m, sizes
 
 
-def fit(texts: list[str], labels: list[int], weight: list[float] | None = None, segments: int = 16_000, rounds: int = 60) -> Model:
+def fit(texts: list[str], labels: list[int], weight: list[float] | None = None, segments: int = 12_000, rounds: int = 60) -> Model:
     """Fit chain and document score; ``weight`` undoes stratified sampling."""
     y = [int(v) for v in labels]
     prior = (sum(y) + 0.5) / (len(y) + 1) if weight is None or not y else sum(w * v for w, v in zip(weight, y, strict=True)) / max(sum(weight), 1e-9)
@@ -193,20 +203,25 @@ def fit(texts: list[str], labels: list[int], weight: list[float] | None = None,
     nothing = Model(np.zeros(1 << BITS, np.float32), -6.0, 0.0, np.zeros((2, 2)), np.array([base, 0, 0, 0]))
     if len(set(y)) < 2:
         return nothing
-    docs = [words_of(t) for t in texts]
-    toxic = _toxic_units(docs, y)
+    toxic = _toxic_units(texts, y)
     rng = np.random.default_rng(7)
     types: dict[str, int] = {}
-    with_toxic, without = [], []
-    for words, label in zip(docs, y, strict=True):
+    with_toxic, without, met = [], [], [0, 0]
+    for t, label in zip(texts, y, strict=True):
+        words = words_of(t)
         for at in range(0, len(words), SEGMENT):
             cut = words[at : at + SEGMENT]
             tags = [int(label == 1 and any(u in toxic for u in units(w))) for w in cut]
-            (with_toxic if any(tags) else without).append((cut, tags))
+            kind = int(any(tags))
+            kept, most = ((without, segments), (with_toxic, segments // 2))[kind]
+            met[kind] += 1
+            if len(kept) < most:  # a reservoir: every segment has the same chance
+                kept.append((cut, tags))
+            elif (k := int(rng.integers(0, met[kind]))) < most:
+                kept[k] = (cut, tags)
     if not with_toxic:
         return nothing
-    pick = [with_toxic[i] for i in rng.permutation(len(with_toxic))[: segments // 2]]
-    pick += [without[i] for i in rng.permutation(len(without))[: max(segments - len(pick), 0)]]
+    pick = with_toxic + without[: segments - len(with_toxic)]
     s = len(pick)
     x, tag, mask = np.zeros((SEGMENT, s), np.int64), np.zeros((SEGMENT, s)), np.zeros((SEGMENT, s))
     for j, (cut, tags) in enumerate(pick):
@@ -231,8 +246,11 @@ def fit(texts: list[str], labels: list[int], weight: list[float] | None = None,
         move = 0.1 * other / np.sqrt(g_o)
         bias, start, trans = bias - move[0], start - move[1], trans - move[2:].reshape(2, 2)
     model = Model(w.astype(np.float32), bias, start, trans, np.zeros(4))
-    _, m, sizes = model.score(docs, Emissions(model.weights, bias))
-    model.doc = _logistic(evidence(m, sizes), np.array(y, float), np.array(weight or [1.0] * len(y)))
+    emit, rows = Emissions(model.weights, bias), []
+    for at in range(0, len(texts), 100):
+        _, m, sizes = model.score([words_of(t) for t in texts[at : at + 100]], emit)
+        rows.append(evidence(m, sizes))
+    model.doc = _logistic(np.concatenate(rows), np.array(y, float), np.array(weight or [1.0] * len(y)))
     return model
 
 
@@ -289,7 +307,7 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % 5 == 0, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = 2000, max_chars: int = 200_000, id_col: str = "doc_id", text_col: str = "text") -> Model:
+def train(docs: DataFrame, labels: DataFrame, per_class: int = 1000, max_chars: int = 200_000, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Fit on a bounded, hashed sample of the labelled rows that aren't held out."""
     spark = docs.sparkSession
     known = labels.where(F.col("toxic").isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))

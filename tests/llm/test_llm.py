@@ -236,7 +236,8 @@ def test_packing(spark):
         b.sort()
         assert b[0][0] == 0 and all(x + n == y for (x, n), (y, _) in zip(b, b[1:])) and sum(b[-1]) <= 100
     assert sorted(r.length for r in got if r.doc_id == 999) == [1, 100, 100, 100]
-    assert len(bins) <= 1.1 * sum(r.length for r in got) / 100 + 1
+    least = max(sum(r.length for r in got) / 100, sum(r.length > 50 for r in got))  # no packing has fewer
+    assert len(bins) <= 1.15 * least + 1
 
 
 def test_open_bins_are_bounded():
