@@ -243,7 +243,7 @@ def test_packing(spark):
 def test_open_bins_are_bounded():
     fit = packing.BestFit(10, 2)
     assert [fit.add(n) for n in (6, 7, 8)] == [(0, 0), (1, 0), (2, 0)]
-    assert fit.open == 2 and fit.add(3)[0] == 3  # the bin of 7 closed, as the fullest
+    assert fit.open == 2 and fit.add(3)[0] == 0  # the bin of 7, which it would fill, closed as the fullest
 
 
 @pytest.mark.parametrize("rule, want", [("majority", [2, 1, 0]), ("start", [2, 1, 0]), ("end", [1, 2, 0]), ("fraction", [1.5, 1.5, 0])])
