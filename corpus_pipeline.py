@@ -49,7 +49,7 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: Training, hashing and tokenizing have no SQL form; tests hold a run against brute force.
+#: Training, hashing and tokenizing have no SQL form.
 ORACLE_SQL = None
 
 
