@@ -279,3 +279,15 @@ def test_lcs_and_leaks(spark):
 
 def test_shared_dir_is_the_sessions(spark):
     assert common.shared_dir(spark).startswith(spark.conf.get("spark.checkpoint.dir"))
+
+
+def test_exact_containment_of_a_large_benchmark(spark):
+    rng = np.random.default_rng(6)
+    words = np.array([f"term{x}" for x in range(2000)])
+    items = [" ".join(rng.choice(words, int(n))) for n in rng.integers(3, 60, 5000)]
+    noise = [" ".join(rng.choice(words, 150)) for _ in range(150)]
+    rows = [(k, f"{t} {items[k]} {noise[-1 - k]}", "s") for k, t in enumerate(noise)]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    found = decontamination.contaminated(docs(spark, rows), bench).collect()
+    got = {(r.doc_id, r.item_id): r.lcs for r in found}
+    assert {k for k in range(150) if got.get((k, k)) != 1.0} == set()
