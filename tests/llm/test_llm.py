@@ -291,3 +291,20 @@ def test_exact_containment_of_a_large_benchmark(spark):
     found = decontamination.contaminated(docs(spark, rows), bench).collect()
     got = {(r.doc_id, r.item_id): r.lcs for r in found}
     assert {k for k in range(150) if got.get((k, k)) != 1.0} == set()
+
+
+def test_short_items_in_long_texts(spark):
+    rng = np.random.default_rng(7)
+    words = np.array([f"term{x}" for x in range(2000)])
+    items = [" ".join(rng.choice(words, n)) for n in (1, 2, 3, 4, 5, 6, 8, 10, 12, 16, 20, 23)]
+    items[0] = "single"
+    rest = [" ".join(rng.choice(words, 40)) for _ in range(200)]
+    noise = [" ".join(rng.choice(words, 400)) for _ in range(2 * len(items))]
+    rows = []
+    for k, item in enumerate(items):
+        w = item.split()
+        near = [x if j % 5 != 3 else "other" for j, x in enumerate(w)]
+        rows += [(2 * k, f"{noise[2 * k]} {item} {noise[1]}", "s"), (2 * k + 1, f"{noise[2 * k + 1]} {' '.join(near)} {noise[1]}", "s")]
+    bench = spark.createDataFrame(list(enumerate(items + rest)), "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontamination.contaminated(docs(spark, rows), bench).collect()}
+    assert {(k, k // 2) for k in range(2 * len(items))} <= got
