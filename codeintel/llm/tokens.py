@@ -19,6 +19,8 @@ from array import array
 import numpy as np
 
 _ODD = "\x1c\x1d\x1e\x1f"
+#: White space of Unicode beyond ASCII.
+_WIDE = "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 _PAIRS = ("  ", " \n", "\n ", "\n\n", "\t", "\r", "\x0b", "\x0c")
 SPACE, NEWLINE = "\u0120", "\u010a"  # byte-level letters for a space and a line feed
 
@@ -137,11 +139,10 @@ class ChunkEncoder:
             return None
         if self.kind == "word":
             return text.split()
-        if text.isascii():
-            # single spaces and line feeds only, none at an end
-            if any(c in text for c in _PAIRS) or text[0] in " \n" or text[-1] in " \n":
-                return None
-        elif len(text.split()) != text.count(" ") + text.count("\n") + 1:
+        # single spaces and line feeds only, none at an end
+        if any(c in text for c in _PAIRS) or text[0] in " \n" or text[-1] in " \n":
+            return None
+        if not text.isascii() and any(c in text for c in _WIDE):
             return None
         keys = text.replace("\n", " \x00").split(" ")
         if keys[0][:1] != "\x00":

@@ -308,3 +308,13 @@ def test_short_items_in_long_texts(spark):
     bench = spark.createDataFrame(list(enumerate(items + rest)), "item_id long, text string")
     got = {(r.doc_id, r.item_id) for r in decontamination.contaminated(docs(spark, rows), bench).collect()}
     assert {(k, k // 2) for k in range(2 * len(items))} <= got
+
+
+def test_wide_white_space_is_encoded_whole():
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        e, s = ChunkEncoder(tokenizer(name)), ChunkEncoder(tokenizer(name), spans=True)
+        for t in ("été\u00a0: oui\u00a0!\n\n\nfin", "é\u3000a  b", "é\ta\n\nb", " é\u2003 a", "é\x85a b\n"):
+            want = e.tok.encode(t, add_special_tokens=False)
+            assert e.ids(t).tolist() == want.ids
+            ids, spans = s.ids_and_spans(t)
+            assert ids.tolist() == want.ids and [tuple(x) for x in spans.tolist()] == want.offsets
