@@ -318,3 +318,12 @@ def test_wide_white_space_is_encoded_whole():
             assert e.ids(t).tolist() == want.ids
             ids, spans = s.ids_and_spans(t)
             assert ids.tolist() == want.ids and [tuple(x) for x in spans.tolist()] == want.offsets
+
+
+def test_pipeline_drops_copies_at_four_fifths(spark):
+    import corpus_pipeline
+
+    base = [f"w{k}" for k in range(54)]  # 50 shingles; one changed word in the middle: 45 of 55 are common
+    rows = [(1, " ".join(base), "s"), (2, " ".join(["other" if k == 20 else w for k, w in enumerate(base)]), "s"), (3, "some other text of six words", "s")]
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs(spark, rows), "").collect()
+    assert sorted(r.doc_id for r in kept) == [1, 3]
