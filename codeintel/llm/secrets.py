@@ -50,7 +50,7 @@ def _looks_live(v: Column) -> Column:
     return (kinds >= F.least(F.lit(9), F.length(v) * 2 / 3)) & v.rlike("[0-9]") & v.rlike("[A-Za-z]") & ~v.rlike(PLACEHOLDER)
 
 
-def candidates(docs: DataFrame, owner: str = "source", repo: tuple[str, ...] = ("source", "lang"), id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+def candidates(docs: DataFrame, owner: str = "source", repo: tuple[str, ...] = ("source", "lang"), id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(rows, candidates): row_id and doc_id of every row; row_id, owner, repo, kind, start, stop, value."""
     text = F.col("__t")
     found = {"assign": (ASSIGN, 2), "access": (ACCESS, 0), "hex": (HEX, 0), "owned": (OWNED, 0)}
@@ -59,8 +59,9 @@ def candidates(docs: DataFrame, owner: str = "source", repo: tuple[str, ...] = (
         F.coalesce(F.col(owner).cast("string"), F.lit("\0null")).alias("owner"),
         F.sha2(F.to_json(F.array(*[F.col(c).cast("string") for c in repo])), 256).alias("repo"),
         whole(text_col).alias("__t"),
+        (F.col(row_col) if row_col else F.monotonically_increasing_id()).alias("row_id"),
     )
-    rows = materialize(base.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", "owner", "repo", *[_matches(text, p, g).alias(k) for k, (p, g) in found.items()]))
+    rows = materialize(base.select("row_id", "doc_id", "owner", "repo", *[_matches(text, p, g).alias(k) for k, (p, g) in found.items()]))
     some = rows.where(" OR ".join(f"size({k}) > 0" for k in KINDS))
     each = None
     for n, k in enumerate(KINDS):
@@ -79,13 +80,14 @@ def ownership(found: DataFrame) -> DataFrame:
     return pairs.groupBy("hash", "owner").agg(F.count("*").alias("r")).groupBy("hash").agg(F.count("*").alias("n_owners"), F.sum("r").alias("n_repos"))
 
 
-def scan(docs: DataFrame, example_owners: int = 4, owner: str = "source", repo: tuple[str, ...] = ("source", "lang"), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, example_owners: int = 4, owner: str = "source", repo: tuple[str, ...] = ("source", "lang"), id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
     """One row a row of ``docs``: doc_id and found, an array of
     struct<start, kind, stop, hash, n_owners, n_repos, live>, by start and kind.
 
     ``example_owners`` distinct owners, or more, make a value an example.
+    ``row_col`` names a column that tells rows apart, if there is one; it is row_id.
     """
-    rows, each = candidates(docs, owner, repo, id_col, text_col)
+    rows, each = candidates(docs, owner, repo, id_col, text_col, row_col)
     live_form = _looks_live(F.col("value"))
     each = materialize(each.select("row_id", "owner", "repo", "kind", "start", "stop", F.sha2("value", 256).alias("hash"), live_form.alias("form")).where("kind < 3 OR form"))
     stats = ownership(each).select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
@@ -143,14 +145,14 @@ def redacted(text: Column, found: Column, mark: str = "[SECRET]") -> Column:
 def redact_documents(docs: DataFrame, example_owners: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with secrets that aren't copied examples replaced in the text.
 
-    Every row stays; n_chars, where there is one, follows the text.
+    Every row stays, and each is redacted by its own text, whatever its id; n_chars,
+    where there is one, follows the text.
     """
     cols = docs.columns
-    found = scan(docs, example_owners, id_col=id_col, text_col=text_col)
-    hit = found.select("doc_id", F.filter("found", lambda x: x["n_owners"] < example_owners).alias("__found")).where("size(__found) > 0 AND doc_id IS NOT NULL")
-    # rows that share an id but not a text are told apart by what is cut
-    hit = hit.groupBy("doc_id").agg(F.max("__found").alias("__found")).withColumnRenamed("doc_id", "__id")
-    out = docs.join(hit, F.col(id_col) == F.col("__id"), "left")
+    docs = materialize(docs.withColumn("__row", F.monotonically_increasing_id()))
+    found = scan(docs, example_owners, id_col=id_col, text_col=text_col, row_col="__row")
+    hit = found.select(F.col("row_id").alias("__id"), F.filter("found", lambda x: x["n_owners"] < example_owners).alias("__found")).where("size(__found) > 0")
+    out = docs.join(hit, F.col("__row") == F.col("__id"), "left")
     text = F.when(F.col("__found").isNotNull(), redacted(F.col(text_col), F.col("__found"))).otherwise(F.col(text_col))
     out = out.withColumn(text_col, text)
     if "n_chars" in cols:

@@ -327,3 +327,13 @@ def test_pipeline_drops_copies_at_four_fifths(spark):
     rows = [(1, " ".join(base), "s"), (2, " ".join(["other" if k == 20 else w for k, w in enumerate(base)]), "s"), (3, "some other text of six words", "s")]
     kept = corpus_pipeline.drop_near_duplicates(spark, docs(spark, rows), "").collect()
     assert sorted(r.doc_id for r in kept) == [1, 3]
+
+
+def test_null_and_repeated_ids_are_treated(spark):
+    live = "q7" + "Zx9Kd83mVn2Lp0Rt5w"
+    rows = [(None, f"null {live} id", "a"), (3, f"one {live} row", "b"), (3, "another text with " + "9a" * 20, "b"), (None, "plain", "c")]
+    got = sorted(r.text for r in secrets.redact_documents(docs(spark, rows)).collect())
+    assert got == ["another text with [SECRET]", "null [SECRET] id", "one [SECRET] row", "plain"]
+    bench = spark.createDataFrame([(1, "a benchmark item of seven whole words")], "item_id long, text string")
+    rows = [(None, "a benchmark item of seven whole words", "a"), (None, "plain", "a"), (5, "other", "a")]
+    assert sorted(r.text for r in decontamination.clean(docs(spark, rows), bench).collect()) == ["other", "plain"]
