@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BATCH_BYTES = 16 << 20
 DOCUMENTS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
 
@@ -32,7 +33,11 @@ def shared_dir(spark: SparkSession) -> str:
         base = "file://" + tempfile.mkdtemp(prefix="codeintel-")
         spark.conf.set("spark.checkpoint.dir", base)
     if "://" not in base:
-        base = "file://" + os.path.abspath(base) if not base.startswith("file:") else "file://" + base[5:]
+        # as Spark itself reads it: a path of the default file system
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
+        base = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+        if base.startswith("file:/") and not base.startswith("file:///"):
+            base = "file://" + base[5:]
     return f"{base.rstrip('/')}/llm-{uuid.uuid4().hex}"
 
 
@@ -53,6 +58,25 @@ def parts(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
+def bounded(df: DataFrame) -> DataFrame:
+    """``df``, with the Arrow batches of this session cut by bytes as well as by rows.
+
+    A batch to Python then holds ``BATCH_BYTES`` or one row, however long the texts.
+    A smaller bound that the session already has stays.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    set_ = _bytes(conf.get(key, str(BATCH_BYTES)))
+    if not 0 < set_ <= BATCH_BYTES:
+        conf.set(key, str(BATCH_BYTES))
+    return df
+
+
+def _bytes(size: str) -> int:
+    units = {"b": 1, "k": 1 << 10, "kb": 1 << 10, "m": 1 << 20, "mb": 1 << 20, "g": 1 << 30, "gb": 1 << 30}
+    digits = size.lower().rstrip("bkmg")
+    return int(digits or 0) * units[size.lower()[len(digits) :] or "b"]
+
+
 def whole(text: str | Column) -> Column:
     """A text column with null as the empty text."""
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
@@ -77,7 +101,7 @@ def map_rows(df: DataFrame, f: Callable[..., Iterator[tuple]], schema: str, rows
         if out:
             yield _batch(out, target)
 
-    return df.mapInArrow(run, schema)
+    return bounded(df).mapInArrow(run, schema)
 
 
 def _batch(rows: list, target: pa.Schema) -> pa.RecordBatch:

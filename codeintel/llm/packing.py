@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _arrow_schema, materialize, whole
+from .common import _arrow_schema, bounded, materialize, whole
 from .tokens import encoder
 
 
@@ -73,18 +73,24 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int
 
     def run(batches):
         enc = encoder(tokenizer)
-        end = np.array([end_id], "<u4")
+        end = np.array([end_id], enc.dtype)
         for b in batches:
-            rows: list[list] = [[] for _ in range(5)]
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ids = np.concatenate([enc.ids(text).astype("<u4"), end])
-                for k, at in enumerate(range(0, len(ids), capacity)):
-                    cut = ids[at : at + capacity]
-                    for c, v in zip(rows, (doc, k, at, len(cut), zlib.crc32(cut.tobytes())), strict=True):
-                        c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, target, strict=True)], schema=target)
-
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), whole(text_col).alias("text")).mapInArrow(run, schema)
+            names, done = b.column(0).to_pylist(), 0
+            for flat, n in enc.many(b.column(1)):
+                rows: list[list] = [[] for _ in range(5)]
+                ends = np.cumsum(n)
+                flat = np.insert(flat, ends, end).astype("<u4")
+                at = 0
+                for doc, size in zip(names[done : done + len(n)], (n + 1).tolist(), strict=True):
+                    for k, start in enumerate(range(0, size, capacity)):
+                        cut = flat[at + start : at + min(start + capacity, size)]
+                        for c, v in zip(rows, (doc, k, start, len(cut), zlib.crc32(cut)), strict=True):
+                            c.append(v)
+                    at += size
+                done += len(n)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, target, strict=True)], schema=target)
+
+    return bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), whole(text_col).alias("text")).mapInArrow(run, schema)
 
 
 def pack(pieces: DataFrame, capacity: int = 4096, open_bins: int = 4096, block_rows: int = 1_000_000) -> DataFrame:

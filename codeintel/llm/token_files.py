@@ -13,6 +13,9 @@ bytes: eight lengths of 1-2 bytes each (vocabularies up to 65,536), or four of
 control bytes up in a table of lengths and gathers: no loop over tokens.
 ``ranks.npy`` beside the parts maps ranks back to ids.
 
+A file has at most ``file_tokens`` ids (or one document), whatever the corpus,
+and is coded and read in slices of half a million, so memory has a bound.
+
 Edge cases: a null text is empty and has the end id only; a null id is kept
 (flag); repeated rows are all written, in an arbitrary but fixed order among
 equal ids; an empty table gives no file and no row; other columns are ignored.
@@ -28,10 +31,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _arrow_schema, materialize, parts, shared_dir, whole
-from .tokens import encoder
+from .common import _arrow_schema, bounded, materialize, parts, shared_dir, whole
+from .tokens import encoder, release
 
 MAGIC = b"SVBRANK1"
+SLICE = 1 << 19  # ids coded at once: a multiple of the lengths in a control byte
 
 
 # ----- the code ---------------------------------------------------------------
@@ -159,12 +163,15 @@ def token_table(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc
 
     def run(batches):
         enc = encoder(tokenizer)
-        end = np.array([end_id], enc.dtype).tobytes()
+        end = np.array([end_id], enc.dtype)
         for b in batches:
-            ids = [enc.ids(t).tobytes() + end for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+            at = 0
+            for flat, n in enc.many(b.column(1)):
+                ids = np.insert(flat, np.cumsum(n), end)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(n)), _cells(ids.tobytes(), np.cumsum(n + 1) * enc.dtype.itemsize)], names=["doc_id", "ids"])
+                at += len(n)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), whole(text_col).alias("text")).mapInArrow(run, "doc_id bigint, ids binary")
+    return bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), whole(text_col).alias("text")).mapInArrow(run, "doc_id bigint, ids binary")
 
 
 def frequency_ranks(tokens: DataFrame, vocab: int, dtype: str) -> np.ndarray:
@@ -175,6 +182,7 @@ def frequency_ranks(tokens: DataFrame, vocab: int, dtype: str) -> np.ndarray:
     """
 
     def count(batches):
+        release()
         total = np.zeros(vocab, np.int64)
         for b in batches:
             total += np.bincount(_flat(b.column(0), dtype)[0], minlength=vocab)
@@ -188,12 +196,50 @@ def frequency_ranks(tokens: DataFrame, vocab: int, dtype: str) -> np.ndarray:
     return np.lexsort((np.arange(vocab), -freq)).astype(np.uint32)
 
 
-def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 0, out: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _slices(counts: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Runs of documents with at most ``most`` ids, or one document."""
+    ends, i = np.cumsum(counts), 0
+    while i < len(counts):
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + most, "right")))
+        yield i, j
+        i = j
+
+
+class _File:
+    """Coded documents that wait to be one file."""
+
+    def __init__(self):
+        self.ids, self.null, self.count, self.control, self.data, self.tokens = [], [], [], [], [], 0
+
+    def add(self, docs: pa.Array, ranks: np.ndarray, counts: np.ndarray, bits: int) -> None:
+        self.ids.append(docs.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8"))
+        self.null.append(docs.is_null().to_numpy(zero_copy_only=False).astype(np.uint8))
+        self.count.append(counts.astype("<u4"))
+        for at in range(0, max(1, len(ranks)), SLICE) if len(counts) == 1 else (0,):
+            cut = ranks[at : at + SLICE] if len(counts) == 1 else ranks
+            control, _, data, _ = svb_encode_many(cut, np.array([len(cut)]) if len(counts) == 1 else counts, bits)
+            self.control.append(control), self.data.append(data)
+        self.tokens += len(ranks)
+
+    def blocks(self) -> list[bytes]:
+        sizes = [sum(map(len, x)) for x in (self.ids, self.control, self.data)]
+        head = [MAGIC, np.array(sizes, "<u8").tobytes()]
+        return [*head, *(x.tobytes() for col in (self.ids, self.null, self.count) for x in col), *self.control, *self.data]
+
+    def __len__(self) -> int:
+        return sum(map(len, self.ids))
+
+
+MANIFEST = "part int, file int, path string, n_docs bigint, n_tokens bigint"
+
+
+def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 0, out: str | None = None, id_col: str = "doc_id", text_col: str = "text", file_tokens: int = 1 << 25) -> DataFrame:
     """Write the files in ascending id order; return their manifest.
 
-    Columns: part, path, n_docs, n_tokens, base (ids in all files before it).
+    Columns: part, file, path, n_docs, n_tokens, base (ids in all files before it).
     The texts are encoded once; ranks need the whole corpus's counts, so the ids
-    wait in a scratch table.  One range shuffle of the coded bytes orders them.
+    wait in a scratch table.  One range shuffle of it orders them, and the files
+    are coded where the ordered ids arrive.
     """
     spark = docs.sparkSession
     enc = encoder(tokenizer)
@@ -207,42 +253,40 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 0, out: str
     _write(f"{out}/ranks.npy", [ranks.tobytes()])
     rank_of = np.empty(vocab, np.uint32)
     rank_of[ranks] = np.arange(vocab, dtype=np.uint32)
-
-    def code(batches):
-        for b in batches:
-            values, n = _flat(b.column(1), dtype)
-            control, c_ends, data, d_ends = svb_encode_many(rank_of[values], n, bits)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), _cells(control, c_ends), _cells(data, d_ends)], names=["doc_id", "n", "control", "data"])
-
-    target = _arrow_schema("part int, path string, n_docs bigint, n_tokens bigint")
+    target = _arrow_schema(MANIFEST)
 
     def save(batches):
         from pyspark import TaskContext
 
-        part = TaskContext.get().partitionId()
-        ids, null, count, control, data = [], [], [], [], []
+        release()
+        part, number, held = TaskContext.get().partitionId(), 0, _File()
+
+        def close():
+            nonlocal number, held
+            _write(name := f"{out}/part-{part:05d}-{number:05d}.svb", held.blocks())
+            row = pa.RecordBatch.from_pylist([{"part": part, "file": number, "path": name, "n_docs": len(held), "n_tokens": held.tokens}], schema=target)
+            number, held = number + 1, _File()
+            return row
+
         for b in batches:
-            for i, n, c, d in zip(*[x.to_pylist() for x in b.columns], strict=True):
-                ids.append(i or 0), null.append(i is None), count.append(n), control.append(c), data.append(d)
-        if not ids:
-            return
-        c, d = b"".join(control), b"".join(data)
-        head = [MAGIC, np.array([len(ids), len(c), len(d)], "<u8").tobytes(), np.array(ids, "<i8").tobytes(), np.array(null, np.uint8).tobytes(), np.array(count, "<u4").tobytes()]
-        _write(name := f"{out}/part-{part:05d}.svb", [*head, c, d])
-        yield pa.RecordBatch.from_pylist([{"part": part, "path": name, "n_docs": len(ids), "n_tokens": sum(count)}], schema=target)
-
-    coded = tokens.mapInArrow(code, "doc_id bigint, n bigint, control binary, data binary")
-    files = (
-        coded.repartitionByRange(parts(spark), F.asc_nulls_first("doc_id"))
-        .sortWithinPartitions(F.asc_nulls_first("doc_id"), "n", "data", "control")
-        .mapInArrow(save, "part int, path string, n_docs bigint, n_tokens bigint")
-        .collect()  # one row a file
-    )
+            values, n = _flat(b.column(1), dtype)
+            at = 0
+            for i, j in _slices(n, SLICE):
+                size = int(n[i:j].sum())
+                if held.tokens and held.tokens + size > file_tokens:
+                    yield close()
+                held.add(b.column(0).slice(i, j - i), rank_of[values[at : at + size]], n[i:j], bits)
+                at += size
+        if len(held):
+            yield close()
+
+    ordered = bounded(tokens).repartitionByRange(parts(spark), F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"), "ids")
+    files = ordered.mapInArrow(save, MANIFEST).collect()  # one row a file
     base, rows = 0, []
     for f in sorted(files):
-        rows.append((f["part"], f["path"], f["n_docs"], f["n_tokens"], base))
+        rows.append((*f, base))
         base += f["n_tokens"]
-    return spark.createDataFrame(rows, "part int, path string, n_docs bigint, n_tokens bigint, base bigint")
+    return spark.createDataFrame(rows, MANIFEST + ", base bigint")
 
 
 def read_token_files(spark: SparkSession, manifest: DataFrame, bits: int, with_ids: bool = False) -> DataFrame:
@@ -250,15 +294,24 @@ def read_token_files(spark: SparkSession, manifest: DataFrame, bits: int, with_i
     schema = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint" + (", ids array<int>" if with_ids else "")
     target = _arrow_schema(schema)
 
+    def batch(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), target, strict=True)], schema=target)
+
     def run(batches):
+        release()
         for b in batches:
             for path, base in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 ranks = np.frombuffer(_read(path.rsplit("/", 1)[0] + "/ranks.npy"), np.uint32)
-                rows, at = [], base
+                rows, at, held = [], base, 0
                 for doc, ids in read_file(_read(path), ranks, bits):
                     rows.append((doc, at, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), *([ids.astype(np.int32)] if with_ids else [])))
                     at += len(ids)
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), target, strict=True)], schema=target)
+                    held += len(ids)
+                    if held > SLICE:
+                        yield batch(rows)
+                        rows, held = [], 0
+                if rows:
+                    yield batch(rows)
 
     n = max(1, min(parts(spark) * 2, manifest.count()))
     return manifest.select("path", "base").repartition(n, "path").mapInArrow(run, schema)

@@ -6,7 +6,9 @@ Natural text repeats its words: each worker keeps the ids of the chunks it has
 met and asks the tokenizers library (its own normaliser, pre-tokenizer and
 model) only for new ones.  The cache is bounded: two generations of at most
 ``limit`` entries, the older one dropped when the younger is full, so memory
-does not follow the corpus.  Texts for which chunks could differ from the whole
+does not follow the corpus.  ``many`` takes a column of texts at a time: Arrow
+splits it and finds its distinct words, so Python meets each word once a slice,
+and numpy lays the ids out.  Texts for which chunks could differ from the whole
 (runs of spaces, other white space, the strings of special tokens) are given to
 the library whole.
 """
@@ -14,9 +16,13 @@ the library whole.
 from __future__ import annotations
 
 import json
+import re
 from array import array
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 _ODD = "\x1c\x1d\x1e\x1f"
 #: White space of Unicode beyond ASCII.
@@ -57,6 +63,7 @@ class ChunkEncoder:
 
             level = ByteLevel(add_prefix_space=False, use_regex=False)
             self.table = {i: level.pre_tokenize_str(chr(i))[0][0] for i in range(32, 256)}
+        self.odd = self._odd_pattern()
         self.new: dict = {}
         self.old: dict = {}
         self.pieces: dict = {}
@@ -149,7 +156,74 @@ class ChunkEncoder:
             keys[0] = "\x01" + keys[0]
         return keys
 
+    def _odd_pattern(self) -> str:
+        """What makes a text be encoded whole, as one RE2 pattern; the same tests as ``_keys``."""
+        odd = [re.escape(s) for s in self.specials]
+        if self.kind == "word":
+            odd.append(r"[\x00\x01\x1c-\x1f" + _WIDE + "]")
+        else:
+            odd += [r"[\x00\x01\x1c-\x1f\t\r\x0b\x0c" + _WIDE + "]", "  | \n|\n |\n\n", r"\A[ \n]|[ \n]\z"]
+        return "|".join(odd)
+
+    def _got(self, keys: list[str]) -> list:
+        got = list(map(self.new.get, keys))
+        if None in got:
+            for i in [i for i, g in enumerate(got) if g is None]:
+                got[i] = self.new.get(keys[i]) or (self._miss(keys[i]) if keys[i] or self.kind == "space" else b"")
+        return got
+
+    def _words_of(self, texts: pa.Array) -> tuple[np.ndarray, pa.DictionaryArray]:
+        """(the end of each text in words, the words' keys) of texts that may be cut."""
+        if self.kind == "word":
+            words = pc.ascii_split_whitespace(texts)
+        else:
+            words = pc.split_pattern(pc.replace_substring(pc.binary_join_element_wise("\x01", texts, ""), "\n", " \x00"), " ")
+        ends = words.offsets.to_numpy()[1:].astype(np.int64) - words.offsets[0].as_py()
+        return ends, words.flatten().dictionary_encode()
+
+    def _slices(self, texts: pa.Array, most: int) -> Iterator[pa.Array]:
+        """Parts of a column with at most ``most`` bytes, or one text."""
+        if isinstance(texts, pa.ChunkedArray):
+            texts = texts.combine_chunks()
+        ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)) if len(texts) else np.zeros(0, np.int64)
+        i = 0
+        while i < len(texts):
+            j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + most, "right")))
+            yield texts.slice(i, j - i)
+            i = j
+
     # ----- public ------------------------------------------------------------
+    def many(self, texts: pa.Array, most: int = 16 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(ids end to end, their number in each text) of slices of a column without nulls, in order."""
+        for part in self._slices(texts, most):
+            if self.kind == "whole":
+                cut = np.zeros(len(part), bool)
+            else:
+                cut = ~pc.match_substring_regex(part, self.odd).to_numpy(zero_copy_only=False)
+                cut &= pc.binary_length(part).to_numpy(zero_copy_only=False) > 0
+            flat, counts = np.zeros(0, self.dtype), np.zeros(len(part), np.int64)
+            if cut.any():
+                ends, words = self._words_of(part if cut.all() else part.filter(pa.array(cut)))
+                got = self._got(words.dictionary.to_numpy(zero_copy_only=False).tolist())
+                size = np.array(list(map(len, got)), np.int64) // self.dtype.itemsize
+                bag = np.frombuffer(b"".join(got), self.dtype)
+                word = words.indices.to_numpy()
+                n = size[word]
+                total = np.cumsum(n)
+                at = np.arange(int(total[-1]) if len(total) else 0, dtype=np.int64)
+                at += np.repeat((np.cumsum(size) - size)[word] - (total - n), n)
+                flat = bag[at]
+                counts[cut] = np.diff(np.concatenate([[0], total])[ends], prepend=0)
+            if not cut.all():
+                whole = [np.array(self.tok.encode(t, add_special_tokens=False).ids, self.dtype) for t in part.filter(pa.array(~cut)).to_pylist()]
+                ends = np.cumsum(counts[cut])
+                cells = iter(np.split(flat, ends[:-1]) if len(ends) else [])
+                other = iter(whole)
+                laid = [next(cells) if c else next(other) for c in cut.tolist()]
+                counts[~cut] = [len(w) for w in whole]
+                flat = np.concatenate(laid) if laid else flat
+            yield flat, counts
+
     def ids(self, text: str) -> np.ndarray:
         """Token ids of ``text`` without special tokens."""
         if not text:
@@ -190,3 +264,8 @@ def encoder(path: str, spans: bool = False) -> ChunkEncoder:
     if (path, spans) not in _ENCODERS:
         _ENCODERS[path, spans] = ChunkEncoder(path, spans=spans)
     return _ENCODERS[path, spans]
+
+
+def release() -> None:
+    """Forget this worker's caches: for stages that don't encode, in workers that did."""
+    _ENCODERS.clear()

@@ -337,3 +337,26 @@ def test_null_and_repeated_ids_are_treated(spark):
     bench = spark.createDataFrame([(1, "a benchmark item of seven whole words")], "item_id long, text string")
     rows = [(None, "a benchmark item of seven whole words", "a"), (None, "plain", "a"), (5, "other", "a")]
     assert sorted(r.text for r in decontamination.clean(docs(spark, rows), bench).collect()) == ["other", "plain"]
+
+
+def test_columns_are_encoded_like_the_library():
+    import pyarrow as pa
+
+    texts = ["", " a", "a  b", "don't WE'LL x\ty", "a\n b", "\na", "É́ ÀA İ ß", "a\x1cb", "<|endoftext|>", "of%%% the, end.\nNew line", "été : oui", "a b", "x", "\n", "a\r\nb", "a\x00b"]
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        for column in (texts, [t for t in texts if t.isalnum()], ["a b c"] * 3, []):
+            e = ChunkEncoder(tokenizer(name), limit=3)
+            got = [g.tolist() for flat, n in e.many(pa.array(column, pa.string()), most=7) for g in np.split(flat, np.cumsum(n)[:-1])]
+            assert got == [e.tok.encode(t, add_special_tokens=False).ids for t in column]
+
+
+def test_files_roll_at_a_number_of_tokens(spark):
+    bpe = tokenizer("byte_bpe_50k.json")
+    rows = [(i, f"words of document {i} " * (i % 7), "s") for i in range(60)] + [(100, "long text " * 900, "s")]
+    d = docs(spark, rows)
+    made = token_files.write_token_files(d, bpe, file_tokens=64)
+    assert made.count() > 20 and all(r.n_tokens <= 64 or r.n_docs == 1 for r in made.collect())
+    a = token_files.read_token_files(spark, made, 1, with_ids=True).orderBy("doc_id").collect()
+    b = token_files.token_id_files(d, bpe).orderBy("doc_id").collect()
+    assert [(r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in a] == [(r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in b]
+    assert all(zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32 for r in a)
