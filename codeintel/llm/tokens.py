@@ -28,6 +28,8 @@ _ODD = "\x1c\x1d\x1e\x1f"
 #: White space of Unicode beyond ASCII.
 _WIDE = "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 _PAIRS = ("  ", " \n", "\n ", "\n\n", "\t", "\r", "\x0b", "\x0c")
+#: ASCII punctuation: a run of these after letters is one piece.
+_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 SPACE, NEWLINE = "\u0120", "\u010a"  # byte-level letters for a space and a line feed
 
 
@@ -39,7 +41,7 @@ class ChunkEncoder:
     space; any other file is encoded whole, text by text.
     """
 
-    def __init__(self, path: str, limit: int = 600_000, spans: bool = False):
+    def __init__(self, path: str, limit: int = 250_000, spans: bool = False):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
@@ -100,18 +102,17 @@ class ChunkEncoder:
         return got
 
     def _plain(self, key: str):
-        """The byte-level pieces of a Latin-1 word with at most one mark after it.
+        """The byte-level pieces of a Latin-1 word with ASCII marks after it.
 
-        Such words are one run of letters to every pre-tokenizer here and are
-        in normal form C already, so the library need not split them.
+        Such words are one run of letters and one of marks to every pre-tokenizer
+        here and are in normal form C already, so the library need not split them.
         """
         first = key[:1]
         word = key[1:] if first == "\x00" or first == "\x01" else key
-        last = word[-1:]
-        if last == "." or last == ",":
-            word = word[:-1]
-        else:
-            last = ""
+        last = ""
+        if word[-1:] in _MARKS:
+            whole, word = word, word.rstrip(_MARKS)
+            last = whole[len(word) :]
         if not word.isalpha() or not (word.isascii() or max(word) < "\u0100"):
             return None
         if self.kind == "word":
