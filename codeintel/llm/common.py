@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 DOCUMENTS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
 
@@ -65,8 +65,8 @@ def bounded(df: DataFrame) -> DataFrame:
     A smaller bound that the session already has stays.
     """
     conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
-    set_ = _bytes(conf.get(key, str(BATCH_BYTES)))
-    if not 0 < set_ <= BATCH_BYTES:
+    has = conf.get(key, None)
+    if not has or not 0 < _bytes(has) <= BATCH_BYTES:
         conf.set(key, str(BATCH_BYTES))
     return df
 

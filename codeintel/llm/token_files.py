@@ -271,7 +271,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 0, out: str
         for b in batches:
             values, n = _flat(b.column(1), dtype)
             at = 0
-            for i, j in _slices(n, SLICE):
+            for i, j in _slices(n, min(SLICE, file_tokens)):
                 size = int(n[i:j].sum())
                 if held.tokens and held.tokens + size > file_tokens:
                     yield close()

@@ -194,7 +194,7 @@ class ChunkEncoder:
             i = j
 
     # ----- public ------------------------------------------------------------
-    def many(self, texts: pa.Array, most: int = 16 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def many(self, texts: pa.Array, most: int = 4 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(ids end to end, their number in each text) of slices of a column without nulls, in order."""
         for part in self._slices(texts, most):
             if self.kind == "whole":
@@ -211,8 +211,8 @@ class ChunkEncoder:
                 word = words.indices.to_numpy()
                 n = size[word]
                 total = np.cumsum(n)
-                at = np.arange(int(total[-1]) if len(total) else 0, dtype=np.int64)
-                at += np.repeat((np.cumsum(size) - size)[word] - (total - n), n)
+                at = np.arange(int(total[-1]) if len(total) else 0, dtype=np.int32)
+                at += np.repeat(((np.cumsum(size) - size)[word] - (total - n)).astype(np.int32), n)
                 flat = bag[at]
                 counts[cut] = np.diff(np.concatenate([[0], total])[ends], prepend=0)
             if not cut.all():

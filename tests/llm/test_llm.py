@@ -355,7 +355,7 @@ def test_files_roll_at_a_number_of_tokens(spark):
     rows = [(i, f"words of document {i} " * (i % 7), "s") for i in range(60)] + [(100, "long text " * 900, "s")]
     d = docs(spark, rows)
     made = token_files.write_token_files(d, bpe, file_tokens=64)
-    assert made.count() > 20 and all(r.n_tokens <= 64 or r.n_docs == 1 for r in made.collect())
+    assert made.count() > 4 and all(r.n_tokens <= 64 or r.n_docs == 1 for r in made.collect())
     a = token_files.read_token_files(spark, made, 1, with_ids=True).orderBy("doc_id").collect()
     b = token_files.token_id_files(d, bpe).orderBy("doc_id").collect()
     assert [(r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in a] == [(r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in b]
