@@ -47,23 +47,28 @@ def code_bits(vocab: int) -> int:
 def _length_table(bits: int) -> np.ndarray:
     n = 8 // bits
     codes = (np.arange(256)[:, None] >> (bits * np.arange(n))[None, :]) & ((1 << bits) - 1)
-    return (codes + 1).astype(np.int64)
+    return (codes + 1).astype(np.uint8)
 
 
 def svb_encode_many(values: np.ndarray, counts: np.ndarray, bits: int) -> tuple[bytes, np.ndarray, bytes, np.ndarray]:
     """(control, its ends, data, its ends) of many runs of values laid end to end."""
     v = values.astype("<u4")
     per = 8 // bits
-    size = 1 + (v > 0xFF).astype(np.int64) + (v > 0xFFFF) + (v > 0xFFFFFF)
+    size = 1 + (v > 0xFF).astype(np.uint8)
+    if bits == 2:
+        size += (v > 0xFFFF).astype(np.uint8) + (v > 0xFFFFFF).astype(np.uint8)
     groups = -(-counts // per)
     ends = np.cumsum(groups)
-    code = np.zeros(int(ends[-1]) * per if len(ends) else 0, np.uint32)
+    code = np.zeros(int(ends[-1]) * per if len(ends) else 0, np.uint8)
     at = np.arange(len(v)) + np.repeat((ends - groups) * per - (np.cumsum(counts) - counts), counts)
     code[at] = size - 1
-    control = (code.reshape(-1, per) << (bits * np.arange(per, dtype=np.uint32))).sum(axis=1).astype(np.uint8)
+    if bits == 1:
+        control = np.packbits(code, bitorder="little")
+    else:
+        control = (code.reshape(-1, per) << (bits * np.arange(per, dtype=np.uint8))).sum(axis=1, dtype=np.uint8)
     width = int(size.max()) if len(v) else 1
     data = v.view(np.uint8).reshape(-1, 4)[:, :width][np.arange(width)[None, :] < size[:, None]]
-    total = np.concatenate([[0], np.cumsum(size)])
+    total = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
     return control.tobytes(), ends, data.tobytes(), total[np.cumsum(counts)]
 
 
@@ -80,7 +85,7 @@ def svb_decode(control: bytes, data: bytes, n: int, bits: int) -> np.ndarray:
 
 
 def _gather(raw: np.ndarray, size: np.ndarray) -> np.ndarray:
-    at = np.cumsum(size) - size
+    at = np.cumsum(size, dtype=np.int64) - size
     out = raw[at].astype(np.uint32) if len(size) else np.zeros(0, np.uint32)
     for k in range(1, int(size.max()) if len(size) else 0):
         has = np.flatnonzero(size > k)
@@ -148,11 +153,11 @@ def read_file(blob: bytes, ranks: np.ndarray, bits: int) -> Iterator[tuple[int |
         size = table[raw[c_at : c_at + int(g.sum())]].reshape(-1)
         real = np.arange(int(c.sum())) + np.repeat((np.cumsum(g) - g) * per - (np.cumsum(c) - c), c)
         size = size[real]
-        values = ranks[_gather(raw[d_at : d_at + int(size.sum())], size)]
+        values = ranks[_gather(raw[d_at : d_at + int(size.sum(dtype=np.int64))], size)]
         ends = np.cumsum(c).tolist()
         for k, (a, b) in enumerate(zip([0, *ends[:-1]], ends, strict=True)):
             yield (None if null[i + k] else int(ids[i + k])), values[a:b]
-        c_at, d_at, i = c_at + int(g.sum()), d_at + int(size.sum()), j
+        c_at, d_at, i = c_at + int(g.sum()), d_at + int(size.sum(dtype=np.int64)), j
     if d_at != at + n_control + n_data:
         raise ValueError("token file is damaged")
 

@@ -7,8 +7,8 @@ met and asks the tokenizers library (its own normaliser, pre-tokenizer and
 model) only for new ones.  The cache is bounded: two generations of at most
 ``limit`` entries, the older one dropped when the younger is full, so memory
 does not follow the corpus.  ``many`` takes a column of texts at a time: Arrow
-splits it and finds its distinct words, so Python meets each word once a slice,
-and numpy lays the ids out.  Texts for which chunks could differ from the whole
+splits it and finds its distinct words, known ones are looked up there, and
+numpy lays the ids out, so Python meets new words only.  Texts for which chunks could differ from the whole
 (runs of spaces, other white space, the strings of special tokens) are given to
 the library whole.
 """
@@ -33,6 +33,46 @@ _MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 SPACE, NEWLINE = "\u0120", "\u010a"  # byte-level letters for a space and a line feed
 
 
+def _laid(at: np.ndarray, size: np.ndarray, bag: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs ``bag[at : at + size]`` of ``which``, end to end, and the size of each."""
+    n = size[which]
+    total = np.cumsum(n)
+    place = np.arange(int(total[-1]) if len(total) else 0, dtype=np.int32)
+    place += np.repeat((at[which] - (total - n)).astype(np.int32), n)
+    return bag[place], n
+
+
+class _Table:
+    """At most ``limit`` keys and their ids, in Arrow and numpy: no Python object a key.
+
+    When it is full, the keys found since the last time stay, half of it at most.
+    """
+
+    def __init__(self, dtype: np.dtype, limit: int):
+        self.limit = limit
+        self.keys = pa.array([], pa.string())
+        self.at, self.size, self.bag, self.used = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, dtype), np.zeros(0, bool)
+
+    def find(self, keys: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(start, number) of the ids of each key in the third, the bag; and which keys are unknown."""
+        if not len(self.keys):
+            return np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64), self.bag, np.arange(len(keys))
+        i = pc.index_in(keys, value_set=self.keys).fill_null(-1).to_numpy(zero_copy_only=False)
+        known = i >= 0
+        self.used[i[known]] = True
+        return np.where(known, self.at[i], 0), np.where(known, self.size[i], 0), self.bag, np.flatnonzero(~known)
+
+    def add(self, keys: pa.Array, ids: np.ndarray, n: np.ndarray) -> None:
+        if len(self.keys) + len(keys) > self.limit:
+            keep = np.flatnonzero(self.used)[-(self.limit // 2) :]
+            self.bag, self.size = _laid(self.at, self.size, self.bag, keep)
+            self.at = np.cumsum(self.size) - self.size
+            self.keys, self.used = self.keys.take(pa.array(keep)), np.zeros(len(keep), bool)
+        self.at = np.concatenate([self.at, len(self.bag) + np.cumsum(n) - n])
+        self.size, self.bag = np.concatenate([self.size, n]), np.concatenate([self.bag, ids])
+        self.keys, self.used = pa.concat_arrays([self.keys, keys]), np.concatenate([self.used, np.zeros(len(keys), bool)])
+
+
 class ChunkEncoder:
     """Ids (and character spans) of texts, equal to ``Tokenizer.encode``.
 
@@ -41,7 +81,7 @@ class ChunkEncoder:
     space; any other file is encoded whole, text by text.
     """
 
-    def __init__(self, path: str, limit: int = 250_000, spans: bool = False):
+    def __init__(self, path: str, limit: int = 250_000, spans: bool = False, table: int = 200_000, table_pieces: int = 300_000):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
@@ -66,6 +106,7 @@ class ChunkEncoder:
             level = ByteLevel(add_prefix_space=False, use_regex=False)
             self.table = {i: level.pre_tokenize_str(chr(i))[0][0] for i in range(32, 256)}
         self.odd = self._odd_pattern()
+        self.known, self.known_pieces = _Table(self.dtype, table), _Table(self.dtype, table_pieces)
         self.new: dict = {}
         self.old: dict = {}
         self.pieces: dict = {}
@@ -166,12 +207,57 @@ class ChunkEncoder:
             odd += [r"[\x00\x01\x1c-\x1f\t\r\x0b\x0c" + _WIDE + "]", "  | \n|\n |\n\n", r"\A[ \n]|[ \n]\z"]
         return "|".join(odd)
 
-    def _got(self, keys: list[str]) -> list:
-        got = list(map(self.new.get, keys))
-        if None in got:
-            for i in [i for i, g in enumerate(got) if g is None]:
-                got[i] = self.new.get(keys[i]) or (self._miss(keys[i]) if keys[i] or self.kind == "space" else b"")
-        return got
+    def _fresh(self, key: str) -> bytes:
+        """Ids of a key by the library, unremembered."""
+        if not key and self.kind == "word":
+            return b""
+        if (pieces := self._plain(key)) is None:
+            text = self._text_of(key)
+            if self.tok.normalizer is not None:
+                text = self.tok.normalizer.normalize_str(text)
+            pieces = [p for p, _ in self.tok.pre_tokenizer.pre_tokenize_str(text)]
+        return b"".join([self._tokenized(p) for p in pieces])
+
+    def _tokenized(self, piece: str) -> bytes:
+        return array(self.code, [t.id for t in self.tok.model.tokenize(piece)]).tobytes() if piece else b""
+
+    def _ragged(self, rows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        return np.frombuffer(b"".join(rows), self.dtype), np.fromiter(map(len, rows), np.int64, len(rows)) // self.dtype.itemsize
+
+    def _new_ids(self, keys: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids end to end, their number in each key) of keys that aren't known yet.
+
+        ASCII words with marks after them are cut into pieces here, as ``_plain``
+        does; of those, only the pieces never met go to the library.
+        """
+        cut = pc.extract_regex(keys, r"\A(?P<p>[\x00\x01]?)(?P<w>[A-Za-z]+)(?P<m>[!-/:-@\[-`{-~]*)\z")
+        plain = cut.is_valid().to_numpy(zero_copy_only=False)
+        flat, counts = self._ragged([self._fresh(k) for k in keys.filter(pa.array(~plain)).to_numpy(zero_copy_only=False).tolist()])
+        if not plain.any():
+            return flat, counts
+        p, w, m = cut.filter(pa.array(plain)).flatten()
+        if self.kind == "word":
+            parts = [pc.ascii_lower(w), m]
+        else:
+            parts = [pc.if_else(pc.equal(p, "\x00"), NEWLINE, ""), pc.if_else(pc.equal(p, ""), pc.binary_join_element_wise(SPACE, w, ""), w), m]
+        pieces = pa.concat_arrays([x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in parts]).dictionary_encode()
+        at, size, bag, new = self.known_pieces.find(pieces.dictionary)
+        if len(new):
+            fresh = pieces.dictionary.take(pa.array(new))
+            more, n = self._ragged(list(map(self._tokenized, fresh.to_numpy(zero_copy_only=False).tolist())))
+            at[new], size[new] = len(bag) + np.cumsum(n) - n, n
+            bag = np.concatenate([bag, more])
+            self.known_pieces.add(fresh, more, n)
+        by_key = pieces.indices.to_numpy().reshape(len(parts), -1).T.reshape(-1)
+        ids, n = _laid(at, size, bag, by_key)
+        n = n.reshape(-1, len(parts)).sum(axis=1)
+        if plain.all():
+            return ids, n
+        total = np.zeros(len(keys), np.int64)
+        total[plain], total[~plain] = n, counts
+        start = np.zeros(len(keys), np.int64)
+        start[plain], start[~plain] = np.cumsum(n) - n, len(ids) + np.cumsum(counts) - counts
+        return _laid(start, total, np.concatenate([ids, flat]), np.arange(len(keys)))
 
     def _words_of(self, texts: pa.Array) -> tuple[np.ndarray, pa.DictionaryArray]:
         """(the end of each text in words, the words' keys) of texts that may be cut."""
@@ -194,7 +280,7 @@ class ChunkEncoder:
             i = j
 
     # ----- public ------------------------------------------------------------
-    def many(self, texts: pa.Array, most: int = 4 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def many(self, texts: pa.Array, most: int = 8 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(ids end to end, their number in each text) of slices of a column without nulls, in order."""
         for part in self._slices(texts, most):
             if self.kind == "whole":
@@ -205,16 +291,15 @@ class ChunkEncoder:
             flat, counts = np.zeros(0, self.dtype), np.zeros(len(part), np.int64)
             if cut.any():
                 ends, words = self._words_of(part if cut.all() else part.filter(pa.array(cut)))
-                got = self._got(words.dictionary.to_numpy(zero_copy_only=False).tolist())
-                size = np.array(list(map(len, got)), np.int64) // self.dtype.itemsize
-                bag = np.frombuffer(b"".join(got), self.dtype)
-                word = words.indices.to_numpy()
-                n = size[word]
-                total = np.cumsum(n)
-                at = np.arange(int(total[-1]) if len(total) else 0, dtype=np.int32)
-                at += np.repeat(((np.cumsum(size) - size)[word] - (total - n)).astype(np.int32), n)
-                flat = bag[at]
-                counts[cut] = np.diff(np.concatenate([[0], total])[ends], prepend=0)
+                at, size, bag, new = self.known.find(words.dictionary)
+                if len(new):
+                    fresh = words.dictionary.take(pa.array(new))
+                    more, n = self._new_ids(fresh)
+                    at[new], size[new] = len(bag) + np.cumsum(n) - n, n
+                    bag = np.concatenate([bag, more])
+                    self.known.add(fresh, more, n)
+                flat, n = _laid(at, size, bag, words.indices.to_numpy())
+                counts[cut] = np.diff(np.concatenate([[0], np.cumsum(n)])[ends], prepend=0)
             if not cut.all():
                 whole = [np.array(self.tok.encode(t, add_special_tokens=False).ids, self.dtype) for t in part.filter(pa.array(~cut)).to_pylist()]
                 ends = np.cumsum(counts[cut])
