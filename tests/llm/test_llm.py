@@ -360,3 +360,38 @@ def test_files_roll_at_a_number_of_tokens(spark):
     b = token_files.token_id_files(d, bpe).orderBy("doc_id").collect()
     assert [(r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in a] == [(r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in b]
     assert all(zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32 for r in a)
+
+
+WORDS = "some words of a paragraph that is long enough to be read as main text by anyone at all, twice over. " * 2
+
+
+@pytest.mark.parametrize("page, want", [
+    # a second, small article stays; names that can be either stay where they hold much text
+    (f"<article><p>{WORDS * 6}</p></article><article><p>Small one.</p></article>", [WORDS * 6, "Small one."]),
+    (f"<article><p>{WORDS}</p><section class=legal><p>{WORDS * 3}</p></section><div class=share>Share this</div><p>End.</p></article>", [WORDS, WORDS * 3, "End."]),
+    # a wrapper named for its layout is the page's frame, not a sidebar
+    (f'<div class="content has-sidebar"><article><p>{WORDS}</p></article></div>', [WORDS]),
+    (f'<div class="sidebar-layout menu"><p>{WORDS}</p><p>{WORDS}</p></div>', [WORDS, WORDS]),
+    (f'<div class="sidebar"><p>Links and things</p></div><div><p>{WORDS}</p><p>{WORDS}</p></div>', [WORDS, WORDS]),
+    # adverts and comments, in and beside the article
+    (f"<div class=ad>Buy this thing now, it is cheap.</div><article><p>{WORDS}</p><div class=ad>Buy more of it.</div><p>b</p></article><section class=comments><article><p>{WORDS * 9}</p></article></section>", [WORDS, "b"]),
+    # equal lines, a short page, no text
+    ("<p>Tiny.</p>", ["Tiny."]),
+    (f"<p>{WORDS}</p><p>{WORDS}</p><p>{WORDS}</p>", [WORDS] * 3),
+    ("<nav>Menu</nav>", []),
+])
+def test_main_text_by_weights(page, want):
+    assert html_text.main_text(page) == "\n\n".join(w.strip() for w in want)
+
+
+def test_surge_and_dive_decide(spark, monkeypatch):
+    page = f"<div class=ad>Buy this thing now, it is cheap.</div><article><h1>T</h1><p>{WORDS}</p></article><p>Imprint of the firm</p>"
+    rows = [(1, "u", page), (1, "u", page), (2, None, None), (3, "v", ""), (4, "w", "<p>" + "long " * 200_000)]
+    pages = spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, text string")
+    got = html_text.extract(pages).orderBy("page_id").collect()
+    assert [(r.page_id, r.text) for r in got[:4]] == [(1, f"T\n\n{WORDS.strip()}")] * 2 + [(2, ""), (3, "")]
+    assert got[4].n_chars == 5 * 200_000 - 1 and html_text.extract(pages.limit(0)).count() == 0
+    plain = re.sub("</?article>", "", page)
+    assert WORDS.strip() in html_text.main_text(plain) and "Buy" not in html_text.main_text(plain)
+    monkeypatch.setattr(html_text, "distribution", lambda length, window, threshold: [bool(x) for x in length])
+    assert "Buy" in html_text.main_text(page) and "Imprint" in html_text.main_text(page)
