@@ -58,6 +58,18 @@ def parts(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names that ``df`` doesn't have, in any case of letters, made of ``names``."""
+    has = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in has:
+            n += "_"
+        has.add(n.lower())
+        out.append(n)
+    return out
+
+
 def bounded(df: DataFrame) -> DataFrame:
     """``df``, with the Arrow batches of this session cut by bytes as well as by rows.
 

@@ -90,10 +90,16 @@ def children(d: bytes, at: int, end: int, inside: int = 0):
             yield eid, p, stop
             at = stop
             continue
+        if p + n > end and eid not in CONTAINERS:
+            return  # the file breaks off in it
         yield eid, p, min(p + n, end)
         at = p + n
 
 
+#: Elements whose whole children count even where the file breaks off in them.
+CONTAINERS = {SEGMENT, CLUSTER, INFO, TRACKS, CUES}
+
+
 def _uint(d: bytes, a: int, b: int) -> int:
     return int.from_bytes(d[a:b], "big")
 

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _arrow_schema, materialize, whole
+from .common import _arrow_schema, bounded, fresh, materialize, whole
 from .components import components
 
 BINS, ROWS, BANDS = 256, 6, 42
@@ -180,7 +180,7 @@ def _signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values).cast(target.field("bands").type)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(size, pa.int64()), pa.array(key, pa.binary()), lists], schema=target)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), whole(text_col).alias("text")).mapInArrow(run, schema)
+    return bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), whole(text_col).alias("text")).mapInArrow(run, schema)
 
 
 def _confirm(rows: DataFrame, percent: int) -> DataFrame:
@@ -223,8 +223,12 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     sigs = materialize(_signatures(docs, id_col, text_col))
     known = sigs.where("key IS NOT NULL AND doc_id IS NOT NULL")
     classes = known.groupBy("key").agg(F.min(F.struct("doc_id", "n_bytes", "bands")).alias("c")).select("key", F.col("c.doc_id").alias("id"), F.col("c.n_bytes").alias("n_bytes"), F.col("c.bands").alias("bands"))
-    first = Window.partitionBy("bucket").orderBy("id")
-    star = classes.select("id", F.explode("bands").alias("bucket")).withColumn("centre", F.first("id").over(first)).where("id <> centre")
+    # The least member of a bucket is found with map-side combining, and joined
+    # back only where the bucket has others: a hot bucket is one row on that side,
+    # and adaptive execution splits the other.
+    placed_in = materialize(classes.select("id", F.explode("bands").alias("bucket")))
+    centres = placed_in.groupBy("bucket").agg(F.min("id").alias("centre"), F.max("id").alias("last")).where("centre <> last").select("bucket", "centre")
+    star = placed_in.join(centres, "bucket").where("id <> centre")
     groups = materialize(components(star.select(F.col("id").alias("a"), F.col("centre").alias("b"))))
 
     # Sizes of the groups decide their blocks.
@@ -275,9 +279,10 @@ def deduplicate(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text
     from pyspark.sql import Window
 
     found = materialize(near_duplicates(docs, percent, id_col, text_col).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("n")))
-    gone = found.where("NOT kept").select(F.col("doc_id").alias("__gone"))
-    out = docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    lost, nth = fresh(docs, "__gone", "__n")
+    gone = found.where("NOT kept").select(F.col("doc_id").alias(lost))
+    out = docs.join(gone, F.col(id_col) == F.col(lost), "left_anti")
     if found.where("kept AND n > 1").limit(1).count():
         one = Window.partitionBy(id_col).orderBy(F.xxhash64(text_col))
-        out = out.withColumn("__n", F.row_number().over(one)).where((F.col("__n") == 1) | F.col(id_col).isNull()).drop("__n")
+        out = out.withColumn(nth, F.row_number().over(one)).where((F.col(nth) == 1) | F.col(id_col).isNull()).drop(nth)
     return out

@@ -28,6 +28,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])",
@@ -210,20 +212,22 @@ def pseudonym(value: Column, kind: Column, key: str) -> Column:
 def pseudonymize(docs: DataFrame, key: str, text_col: str = "text", out: str = "text", found: str = "pii") -> DataFrame:
     """``docs`` with ``out`` the pseudonymized text and ``found`` array<struct<kind, gap, value, pseudonym>>.
 
-    gap: the characters of the original text since the previous value.
+    gap: the characters of the original text since the previous value.  A column of
+    the name ``found`` that ``docs`` has already is kept; the values then get that
+    name and an underscore.
     """
-    gaps_col, found_col = "__gaps", found
+    found_col, each_col, gaps_col = fresh(docs, found, "__each", "__gaps")
     text = F.col(text_col)
     hit = text.rlike(ALL)
     values = F.regexp_extract_all(text, F.lit(ALL), F.lit(0))
     gaps = F.split(text, ALL, -1)
     each = F.zip_with(F.slice(gaps, 1, F.size(values)), values, lambda g, v: F.struct(kind_of(v).alias("kind"), F.length(g).alias("gap"), v.alias("value")))
     none = F.array().cast("array<struct<kind:string,gap:int,value:string,pseudonym:string>>")
-    named = F.transform(F.col("__each"), lambda x: F.struct(F.when(x["kind"].isin("ymd", "dmy"), F.lit("date")).otherwise(x["kind"]).alias("kind"), x["gap"].alias("gap"), x["value"].alias("value"), pseudonym(x["value"], x["kind"], key).alias("pseudonym")))
-    step1 = docs.withColumn("__each", F.when(hit, each)).withColumn(gaps_col, F.when(hit, gaps))
-    step2 = step1.withColumn(found_col, F.when(F.col("__each").isNotNull(), named).otherwise(none))
+    named = F.transform(F.col(each_col), lambda x: F.struct(F.when(x["kind"].isin("ymd", "dmy"), F.lit("date")).otherwise(x["kind"]).alias("kind"), x["gap"].alias("gap"), x["value"].alias("value"), pseudonym(x["value"], x["kind"], key).alias("pseudonym")))
+    step1 = docs.withColumn(each_col, F.when(hit, each)).withColumn(gaps_col, F.when(hit, gaps))
+    step2 = step1.withColumn(found_col, F.when(F.col(each_col).isNotNull(), named).otherwise(none))
     rebuilt = F.array_join(F.zip_with(gaps_col, found_col, lambda g, x: F.concat(g, F.coalesce(x["pseudonym"], F.lit("")))), "")
-    return step2.withColumn(out, F.when(F.col(gaps_col).isNotNull(), rebuilt).otherwise(text)).drop("__each", gaps_col)
+    return step2.withColumn(out, F.when(F.col(gaps_col).isNotNull(), rebuilt).otherwise(text)).drop(each_col, gaps_col)
 
 
 def report(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

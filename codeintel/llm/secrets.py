@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, whole
+from .common import fresh, materialize, whole
 
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"  # a run that is shorter fails whole, wherever in it one starts
@@ -149,12 +149,14 @@ def redact_documents(docs: DataFrame, example_owners: int = 4, id_col: str = "do
     where there is one, follows the text.
     """
     cols = docs.columns
-    docs = materialize(docs.withColumn("__row", F.monotonically_increasing_id()))
-    found = scan(docs, example_owners, id_col=id_col, text_col=text_col, row_col="__row")
-    hit = found.select(F.col("row_id").alias("__id"), F.filter("found", lambda x: x["n_owners"] < example_owners).alias("__found")).where("size(__found) > 0")
-    out = docs.join(hit, F.col("__row") == F.col("__id"), "left")
-    text = F.when(F.col("__found").isNotNull(), redacted(F.col(text_col), F.col("__found"))).otherwise(F.col(text_col))
+    row, key, spans = fresh(docs, "__row", "__id", "__found")
+    docs = materialize(docs.withColumn(row, F.monotonically_increasing_id()))
+    found = scan(docs, example_owners, id_col=id_col, text_col=text_col, row_col=row)
+    hit = found.select(F.col("row_id").alias(key), F.filter("found", lambda x: x["n_owners"] < example_owners).alias(spans)).where(F.size(spans) > 0)
+    # most rows have no secret: the texts aren't shuffled, but for those that have
+    out = docs.join(hit, F.col(row) == F.col(key), "left")
+    text = F.when(F.col(spans).isNotNull(), redacted(F.col(text_col), F.col(spans))).otherwise(F.col(text_col))
     out = out.withColumn(text_col, text)
     if "n_chars" in cols:
-        out = out.withColumn("n_chars", F.when(F.col("__found").isNotNull(), F.length(text_col).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.col(spans).isNotNull(), F.length(text_col).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*cols)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _arrow_schema, whole
+from .common import _arrow_schema, bounded, whole
 from .tokens import encoder
 
 RULES = ("majority", "start", "end", "fraction")
@@ -128,4 +128,4 @@ def count_tokens(docs: DataFrame, tokenizer: str, sections: str | None = None, r
                 rows[5] += cross[:m].astype(int).tolist()
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, target, strict=True)], schema=target)
 
-    return docs.select(*cols).mapInArrow(run, schema)
+    return bounded(docs).select(*cols).mapInArrow(run, schema)

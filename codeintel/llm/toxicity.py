@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _arrow_schema, whole
+from .common import _arrow_schema, bounded, fresh, materialize, whole
 
 WORD = re.compile(r"\w+")
 BITS = 18
@@ -312,6 +312,9 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 1000, max_chars:
     spark = docs.sparkSession
     known = labels.where(F.col("toxic").isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
     known = known.groupBy(F.col(id_col).cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
+    # drawn from the rows that fit, so a class of long texts keeps its share
+    fits = docs.where(F.length(whole(text_col)) <= max_chars).select(F.col(id_col).cast("long").alias("doc_id"))
+    known = materialize(known.join(fits, "doc_id", "left_semi"))
     count = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     order = F.xxhash64("doc_id")
     rows = [r for y, most in ((1, per_class), (0, 2 * per_class)) for r in known.where(F.col("toxic") == y).orderBy(order, "doc_id").limit(most).collect()]
@@ -320,21 +323,32 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 1000, max_chars:
     # at most 3 * per_class rows: a bound, not a guess
     sample = F.broadcast(spark.createDataFrame([(r["doc_id"], r["toxic"]) for r in rows], "sample_id bigint, toxic int"))
     text = whole(text_col)
-    got = docs.join(sample, F.col(id_col) == F.col("sample_id")).where(F.length(text) <= max_chars).select("sample_id", "toxic", text.alias("text")).dropDuplicates(["sample_id"]).collect()
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).where(F.length("text") <= max_chars)
+    got = texts.join(sample, F.col("doc_id") == F.col("sample_id")).select("sample_id", "toxic", "text").groupBy("sample_id").agg(F.max("toxic").alias("toxic"), F.min("text").alias("text")).collect()
     got = sorted(got, key=lambda r: r["sample_id"])
     n = Counter(r["toxic"] for r in got)
     return fit([r["text"] for r in got], [r["toxic"] for r in got], [count[r["toxic"]] / n[r["toxic"]] for r in got])
 
 
+def clean(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows whose score is one half or more; a row without text has the score of no evidence."""
+    scored = score(docs, model, id_col, text_col, keep=True)
+    return scored.where(F.col(scored.columns[-2]) == 0).select(*docs.columns)
+
+
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: bool = False, batch_chars: int = 1_500_000) -> DataFrame:
-    """doc_id, score, predicted, spans of every row; with ``keep``, all columns of ``docs`` and score.
+    """doc_id, score, predicted, spans of every row; with ``keep``, all columns of ``docs`` and those three.
 
-    spans are start:end of offending words, in code points, end exclusive.
+    spans are start:end of offending words, in code points, end exclusive.  With
+    ``keep``, the last three columns are the result; where ``docs`` has a column of
+    such a name, the result's has an underscore more.
     """
-    src = docs.withColumn("__text", whole(text_col)) if keep else docs.select(F.col(id_col).cast("long").alias("doc_id"), whole(text_col).alias("__text"))
-    add = "score double, predicted int, spans string"
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema if f.name != "__text"]
-    schema = ", ".join([*fields, add])
+    src = docs if keep else docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col))
+    names = fresh(docs, "score", "predicted", "spans") if keep else ["score", "predicted", "spans"]
+    hidden = fresh(src, "__text")[0]
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema] if keep else ["doc_id bigint"]
+    src = bounded(src).withColumn(hidden, whole(text_col)) if keep else bounded(src).select("doc_id", whole(text_col).alias(hidden))
+    schema = ", ".join([*fields, *(f"`{n}` {t}" for n, t in zip(names, ("double", "int", "string"), strict=True))])
     target = _arrow_schema(schema)
 
     def run(batches):

@@ -122,7 +122,7 @@ def test_toxic_words_are_learned():
     assert p[1] > 0.5 > p[0] and p[2] < 0.5 and marg[4] > 0.5
 
 
-def brute_components(texts):
+def brute_components(texts, percent=85):
     sets = {}
     for i, t in texts.items():
         w = re.findall(r"[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
@@ -130,7 +130,7 @@ def brute_components(texts):
     root = {i: i for i in texts}
     for _ in texts:
         for a, b in itertools.combinations(texts, 2):
-            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
                 root[a] = root[b] = min(root[a], root[b])
     return {i: len(s) for i, s in sets.items()}, root
 
