@@ -1,49 +1,50 @@
-"""Graph operators over edge tables (from_id, to_id): driver-controlled, distributed rounds."""
+"""Graph operators over edge tables (from_id, to_id): driver-controlled, distributed rounds.
+
+Rounds end in the shared folder.  What reaches the driver are counts and single rows.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import cut
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Cut lineage: a reliable checkpoint where the session names a folder, else nothing."""
-    if df.sparkSession.conf.get("spark.checkpoint.dir", None):
-        return df.checkpoint()
-    return df.cache()
 
+def reachable(edges: DataFrame, start: list, max_depth: int = 6, reverse: bool = False, max_nodes: int | None = None) -> DataFrame:
+    """(node, depth, path): least depth of every node within ``max_depth``, the start excluded.
 
-def reachable(edges: DataFrame, start: list[int], max_depth: int = 6, reverse: bool = False) -> DataFrame:
-    """(node, depth): least depth of every node within ``max_depth``, the start excluded."""
+    ``path`` leads there from the start, by the least predecessors.  With
+    ``max_nodes``, the search stops when so many are found; of the last depth the
+    least ids stay.
+    """
     spark = edges.sparkSession
+    kind = edges.schema["from_id"].dataType.simpleString()
     a, b = ("to_id", "from_id") if reverse else ("from_id", "to_id")
-    e = edges.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).distinct()
-    seen = spark.createDataFrame([(int(s), 0) for s in start], "node long, depth int")
-    front = seen
+    e = edges.select(F.col(a).cast(kind).alias("a"), F.col(b).cast(kind).alias("b")).where("a <> b").distinct()
+    seen = front = spark.createDataFrame([(s, 0, [s]) for s in start], f"node {kind}, depth int, path array<{kind}>")
+    left = max_nodes
     for depth in range(1, max_depth + 1):
-        nxt = front.join(e, front["node"] == e["a"]).select(F.col("b").alias("node")).distinct().join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth))
-        front = _cut(nxt)
-        if front.isEmpty():
+        step = front.join(e, front["node"] == e["a"]).groupBy("b").agg(F.min_by("path", "a").alias("p"))
+        fresh = step.join(seen.select(F.col("node").alias("b")), "b", "left_anti").select(F.col("b").alias("node"), F.lit(depth).alias("depth"), F.concat("p", F.array("b")).alias("path"))
+        if left is not None:
+            fresh = fresh.orderBy("node").limit(left)
+        front = cut(fresh)
+        n = front.count()
+        if n:
+            seen = seen.unionByName(front)
+        if not n or (left is not None and n >= left):
             break
-        seen = seen.unionByName(front)
+        left = None if left is None else left - n
     return seen.where("depth > 0")
 
 
-def shortest_path(edges: DataFrame, source: int, target: int, max_depth: int = 12) -> list[int] | None:
+def shortest_path(edges: DataFrame, source, target, max_depth: int = 12) -> list | None:
     """The nodes of a shortest path, least predecessor first; None where there is none."""
     if source == target:
         return [source]
-    reach = reachable(edges, [source], max_depth)
-    depth = {source: 0}
-    row = reach.where(F.col("node") == target).collect()
-    if not row:
-        return None
-    depth, path, at = row[0]["depth"], [target], target
-    while depth > 1:
-        prev = edges.where(F.col("to_id") == at).select(F.col("from_id").alias("node")).join(reach.where(F.col("depth") == depth - 1), "node").agg(F.min("node")).collect()[0][0]
-        path.append(prev)
-        at, depth = prev, depth - 1
-    return [source, *reversed(path)]
+    row = reachable(edges, [source], max_depth).where(F.col("node") == target).select("path").first()
+    return list(row.path) if row else None
 
 
 def degrees(edges: DataFrame, cap: int = 40) -> DataFrame:
@@ -51,17 +52,17 @@ def degrees(edges: DataFrame, cap: int = 40) -> DataFrame:
     return edges.groupBy(F.col("to_id").alias("node")).agg(F.least(F.count("*"), F.lit(cap)).alias("inbound"))
 
 
-def _tarjan(pairs) -> dict[int, int]:
+def _tarjan(pairs) -> dict:
     """Least node of each node's strong component, with an explicit stack."""
-    out: dict[int, list[int]] = {}
+    out: dict = {}
     for a, b in pairs:
         out.setdefault(a, []).append(b)
         out.setdefault(b, [])
-    index: dict[int, int] = {}
-    low: dict[int, int] = {}
-    held: list[int] = []
-    on: set[int] = set()
-    root: dict[int, int] = {}
+    index: dict = {}
+    low: dict = {}
+    held: list = []
+    on: set = set()
+    root: dict = {}
     for start in out:
         if start in index:
             continue
@@ -94,56 +95,105 @@ def _tarjan(pairs) -> dict[int, int]:
     return root
 
 
-def strong_components(edges: DataFrame, max_rounds: int = 100, one_task_edges: int = 1_000_000) -> DataFrame:
-    """(node, component) of strongly connected components of more than one node.
+def _finish(live: DataFrame, kind: str) -> DataFrame:
+    """Components of a rest of bounded size, in one task."""
 
-    Up to ``one_task_edges`` (counted first) one task runs Tarjan's algorithm; a
-    larger graph is coloured in rounds: forward-backward colouring: trim nodes without both in- and outgoing edges,
-    spread the least label forward to a fixpoint, then keep, backward from each
-    label's root, the nodes of its colour.  Repeats on what is left.
-    """
-    live = edges.select(F.col("from_id").cast("long").alias("a"), F.col("to_id").cast("long").alias("b")).where("a <> b").distinct()
-    if live.limit(one_task_edges + 1).count() <= one_task_edges:
+    def run(pdf):
+        import pandas as pd
+
+        root = _tarjan(zip(pdf["a"].tolist(), pdf["b"].tolist(), strict=True))
+        return pd.DataFrame({"node": list(root), "component": list(root.values())})
+
+    return live.withColumn("g", F.lit(0)).groupBy("g").applyInPandas(run, f"node {kind}, component {kind}")
 
-        def run(pdf):
-            import pandas as pd
 
-            root = pd.Series(_tarjan(zip(pdf["a"].tolist(), pdf["b"].tolist(), strict=True)), dtype="int64")
-            big = root[root.map(root.value_counts()) > 1]
-            return pd.DataFrame({"node": big.index.astype("int64"), "component": big.to_numpy()})
+def strong_components(edges: DataFrame, rest: int = 200_000, max_rounds: int = 1000, trims: int = 8) -> DataFrame:
+    """(node, component) of strongly connected components of more than one node; component: the least node.
 
-        return live.withColumn("g", F.lit(0)).groupBy("g").applyInPandas(run, "node long, component long")
-    out = None
+    Rounds of trimming (nodes without edges in or out lie in no cycle) and of
+    forward-backward colouring, each on what the one before left, until at most
+    ``rest`` edges are left: they, a few MB at most, end in one task.  Chains are
+    trimmed at most ``trims`` layers a round, as the colouring cuts them too.
+    """
+    kind = edges.schema["from_id"].dataType.simpleString()
+    live = cut(edges.select(F.col("from_id").alias("a"), F.col("to_id").alias("b")).where("a <> b").distinct())
+    n, out = live.count(), None
     for _ in range(max_rounds):
-        while True:
-            n = live.count()
-            kept = _cut(live.join(live.select(F.col("b").alias("a")).distinct(), "a", "left_semi").join(live.select(F.col("a").alias("b")).distinct(), "b", "left_semi").select("a", "b"))
-            live = kept
-            if kept.count() == n:
-                break
-        if n == 0:
-            break
-        colour = live.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("c", F.col("node"))
-        while True:
-            push = live.join(colour, live["a"] == colour["node"]).select(F.col("b").alias("node"), "c")
-            new = _cut(colour.unionByName(push).groupBy("node").agg(F.min("c").alias("c")))
-            changed = new.join(colour.withColumnRenamed("c", "old"), "node").where("c <> old").limit(1).count()
-            colour = new
-            if not changed:
+        for _ in range(trims):
+            if n <= rest:
                 break
-        same = live.join(colour.select(F.col("node").alias("a"), F.col("c").alias("ca")), "a").join(colour.select(F.col("node").alias("b"), F.col("c").alias("cb")), "b").where("ca = cb").select("a", "b", F.col("ca").alias("c"))
-        same = _cut(same)
-        found = colour.where("node = c").select("node", "c")
-        front = found
-        while True:
-            front = _cut(same.join(front.select(F.col("node").alias("b"), "c"), ["b", "c"]).select(F.col("a").alias("node"), "c").distinct().join(found, ["node", "c"], "left_anti"))
-            if front.isEmpty():
+            kept = cut(live.join(live.select(F.col("b").alias("a")).distinct(), "a", "left_semi").join(live.select(F.col("a").alias("b")).distinct(), "b", "left_semi").select("a", "b"))
+            was, live, n = n, kept, kept.count()
+            if n == was:
                 break
-            found = _cut(found.unionByName(front))
+        if n <= rest:
+            break
+        found = _colour(live)
         out = found if out is None else out.unionByName(found)
         done = found.select("node")
-        live = _cut(live.join(done.withColumnRenamed("node", "a"), "a", "left_anti").join(done.withColumnRenamed("node", "b"), "b", "left_anti"))
-    if out is None:
-        return edges.sparkSession.createDataFrame([], "node long, component long")
-    big = out.groupBy("c").count().where("count > 1").select("c")
-    return out.join(big, "c").select("node", F.col("c").alias("component"))
+        live = cut(live.join(done.withColumnRenamed("node", "a"), "a", "left_anti").join(done.withColumnRenamed("node", "b"), "b", "left_anti"))
+        n = live.count()
+    else:
+        raise RuntimeError("strong components did not converge")
+    last = _finish(live, kind)
+    all_ = last if out is None else out.unionByName(last)
+    big = all_.groupBy("component").agg(F.count("*").alias("n")).where("n > 1").select("component")
+    return all_.join(big, "component").select("node", "component")
+
+
+def _colour(live: DataFrame) -> DataFrame:
+    """Components that hold the least node of all that reach them: the least label goes forward to a fixpoint, then back within its colour."""
+    colour = live.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("c", F.col("node"))
+    while True:
+        push = live.join(colour, live["a"] == colour["node"]).select(F.col("b").alias("node"), "c")
+        new = cut(colour.unionByName(push).groupBy("node").agg(F.min("c").alias("c")))
+        same = new.join(colour.withColumnRenamed("c", "old"), "node").where("c <> old").isEmpty()
+        colour = new
+        if same:
+            break
+    inside = live.join(colour.select(F.col("node").alias("a"), F.col("c").alias("ca")), "a").join(colour.select(F.col("node").alias("b"), F.col("c").alias("cb")), "b").where("ca = cb").select("a", "b", F.col("ca").alias("c"))
+    inside = cut(inside)
+    found = front = cut(colour.where("node = c").select("node", "c"))
+    while not front.isEmpty():
+        front = cut(inside.join(front.select(F.col("node").alias("b"), "c"), ["b", "c"]).select(F.col("a").alias("node"), "c").distinct().join(found, ["node", "c"], "left_anti"))
+        found = found.unionByName(front)
+    return found.select("node", F.col("c").alias("component"))
+
+
+def cycles(edges: DataFrame, **options) -> DataFrame:
+    """(cycle, node): strong components, and nodes with an edge to themselves once more as cycles of one."""
+    self_loops = edges.where("from_id = to_id").select(F.col("from_id").alias("node")).distinct()
+    big = strong_components(edges, **options)
+    return big.select(F.concat(F.lit("component "), F.col("component").cast("string")).alias("cycle"), "node").unionByName(self_loops.select(F.concat(F.lit("loop "), F.col("node").cast("string")).alias("cycle"), "node"))
+
+
+def neighbourhood(edges: DataFrame, focus, hops: int = 2, max_nodes: int = 60) -> DataFrame:
+    """The edges between nodes at most ``hops`` from ``focus``, either way."""
+    near = reachable(edges, [focus], hops, max_nodes=max_nodes).unionByName(reachable(edges, [focus], hops, True, max_nodes)).select("node")
+    kind = edges.schema["from_id"].dataType.simpleString()
+    near = near.unionByName(edges.sparkSession.createDataFrame([(focus,)], f"node {kind}")).distinct()
+    return edges.join(near.withColumnRenamed("node", "from_id"), "from_id", "left_semi").join(near.withColumnRenamed("node", "to_id"), "to_id", "left_semi").select(*edges.columns)
+
+
+EXECUTABLE = ["function", "method", "constructor", "class", "route"]
+
+
+def entry_points(symbols: DataFrame, edges: DataFrame, files: DataFrame) -> DataFrame:
+    """symbols with ``reason``: the first of four signs that execution begins there."""
+    called = edges.where("kind = 'calls'").select(F.col("to_id").alias("symbol_id")).distinct().withColumn("called", F.lit(True))
+    x = symbols.where(F.col("kind").isin(EXECUTABLE)).join(called, "symbol_id", "left").join(files.select("rel_path", F.col("is_test").alias("in_test")), "rel_path", "left")
+    reason = (
+        F.when(F.col("role") == "controller", F.lit("HTTP route or controller"))
+        .when(F.col("role").isin("worker", "job"), F.lit("background worker or scheduled job"))
+        .when((F.col("role") == "entrypoint") | F.col("name").rlike("^(main|Main|bootstrap|start|serve)$"), F.lit("process entry function"))
+        .when(F.col("is_exported") & F.col("called").isNull() & ~F.coalesce("in_test", F.lit(True)) & F.col("rel_path").rlike("(^|/)(bin|cmd|scripts?)/"), F.lit("exported and uncalled in an executable directory"))
+    )
+    return x.withColumn("reason", reason).where("reason IS NOT NULL").drop("called", "in_test")
+
+
+def layers(symbols: DataFrame, files: DataFrame) -> DataFrame:
+    """(rel_path, layer): the role of a file's first symbol that has one, else its top folder (a root file's own name)."""
+    order: Column = F.struct("start_line", "symbol_id")
+    role = symbols.where("role <> 'unknown'").groupBy("rel_path").agg(F.min_by("role", order).alias("role"))
+    x = files.where("skip_reason IS NULL").select("rel_path").join(role, "rel_path", "left")
+    return x.select("rel_path", F.coalesce("role", F.substring_index("rel_path", "/", 1)).alias("layer"))
