@@ -43,7 +43,7 @@ def commit_id(repo: Column, sha: Column) -> Column:
     return make("commit", repo, sha)
 
 
-def tree_hash(files: DataFrame, group: str, order: str, digest: str, buckets: int = 256) -> DataFrame:
+def tree_hash(files: DataFrame, group: str, order: str, digest: str, buckets: int = 4096) -> DataFrame:
     """(group, tree_hash): a digest of a group's digests that doesn't depend on partitioning.
 
     Two levels: the digests of each of ``buckets`` hash buckets in order of path,

@@ -161,4 +161,48 @@ def rerank(fused: DataFrame, boost: float = 0.35, most_inbound: int = 40) -> Dat
     return x.withColumns({"final": F.col("fused") * factor, "reasons": why if boost > 0 else F.array(F.lit("text match"))}).drop("inbound_", "siblings", "test_", "build_")
 
 
-__all__ = ["Index", "analyse", "bm25", "fuse", "like_score", "match", "postings", "rank_symbols", "rerank", "top", "write_index"]
+def nearest(vectors: DataFrame, queries: DataFrame, key: str, col: str, k: int = 10, block: int = 2048) -> DataFrame:
+    """(query_id, key, cosine): the ``k`` nearest of ``vectors`` for each of ``queries``, ties (to six places) by key.
+
+    The queries go in blocks of at most ``block``, so what a task holds has a
+    bound.  A task keeps ``k`` rows a query; only those are shuffled.
+    """
+    import math
+
+    import numpy as np
+    import pyarrow as pa
+
+    blocks = max(1, math.ceil(queries.count() / block))
+    kind = vectors.schema[key].dataType.simpleString()
+    out = None
+    for b in range(blocks):
+        part = queries.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == b) if blocks > 1 else queries
+        rows = part.select(key, col).where(F.col(col).isNotNull()).collect()
+        ids = [r[0] for r in rows]
+        q = np.array([r[1] for r in rows], np.float64).reshape(len(rows), -1)
+        q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
+
+        def run(batches, ids=ids, q=q):
+            best = [(np.zeros(0), np.zeros(0, np.int64))] * len(ids)
+            for batch in batches:
+                names = batch.column(0).to_numpy(zero_copy_only=False)
+                flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+                if not len(names) or not len(ids):
+                    continue
+                x = flat.reshape(len(names), -1)
+                cos = q @ (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)).T
+                for i in range(len(ids)):
+                    c, n = np.concatenate([best[i][0], cos[i]]), np.concatenate([best[i][1], names])
+                    top_ = np.lexsort((n, -np.round(c, 6)))[:k]
+                    best[i] = c[top_], n[top_]
+            out_ = [(ids[i], n, c) for i in range(len(ids)) for c, n in zip(*best[i], strict=True)]
+            if out_:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out_, strict=True)], names=["query_id", key, "cosine"])
+
+        got = vectors.select(key, col).where(F.col(col).isNotNull()).mapInArrow(run, f"query_id {kind}, {key} {kind}, cosine double")
+        out = got if out is None else out.unionByName(got)
+    nth = Window.partitionBy("query_id").orderBy(F.round("cosine", 6).desc(), key)
+    return out.withColumn("nth", F.row_number().over(nth)).where(F.col("nth") <= k).drop("nth")
+
+
+__all__ = ["Index", "analyse", "bm25", "fuse", "like_score", "match", "nearest", "postings", "rank_symbols", "rerank", "top", "write_index"]

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from .plans.queries import ORACLES, QUERIES
+from .plans import code_queries, queries  # noqa: F401
+from .plans.registered import ORACLES, QUERIES
 
 FLAGSHIP = "search_documents"
 
