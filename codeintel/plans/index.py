@@ -79,8 +79,7 @@ def index(spark: SparkSession, store: Store, root: str, config: dict, force: boo
         store.replace("imports", repo, imported)
         store.replace("packages", repo, packages)
         store.replace("documents", repo, documents.documents(texts, config))
-        store.replace("chunks", repo, resolve.chunks(ranges, symbols, files).limit(0))
-        store.put_chunks(resolve.chunks(ranges, symbols, files))
+        store.replace_chunks(repo, resolve.chunks(ranges, symbols, files))
         head = None
         if config["git"]["enabled"]:
             try:

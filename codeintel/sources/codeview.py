@@ -24,7 +24,7 @@ EXTS = ".ts .tsx .js .py .go .java .rs .kt .cs .c .md .json .yml .test.ts .pb.go
 NAMES = "loadUser handleRequest UserModel OrderService parseToken AuthController main Serializer _private CacheStore onClick up Job start computeTotals PaymentWorker HttpClient Config validate RouteTable Listener Iterator merge Facade encode LoginGuard buildQuery TaskRunner Entity flush Widget".split()
 KINDS = "function class method interface constant variable".split()
 SIGNATURES = ["function run()", "@Get('/users') list()", "class A", "@Cron('* * *') tick()", "def go(self)", "@app.post('/x')", "@shared_task work", "const x = 1", "@Interval(5) poll()"]
-KINDS_OF_REFERENCE = "call reference instantiate extends implements".split()
+KINDS_OF_REFERENCE = "reference call call instantiate extends implements call".split()
 EXTERNAL = {"typescript": "@nestjs/core/http", "tsx": "react", "javascript": "express", "python": "django.db", "go": "github.com/gin-gonic/gin", "java": "org.springframework.web.Rest", "kotlin": "org.junit.Test", "csharp": "Microsoft.AspNetCore.Mvc", "rust": "axum::Router", "c": "stdio.h", "markdown": "https://x"}
 GO_MODULE = "example.com/mod"
 

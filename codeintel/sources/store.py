@@ -164,6 +164,20 @@ class Store:
                 fresh = postings(mine.select("repo_id", "chunk_id", "search_text"), "chunk_id", "search_text", ["repo_id"]).select(*old.columns)
                 self._put("postings", old.unionByName(fresh), [r])
 
+    def replace_chunks(self, repo: str, new: DataFrame) -> None:
+        """Makes ``new`` the chunks of a repository; only those whose text is new are tokenized, the others keep their postings."""
+        from ..operators.search import postings
+
+        with self.transaction():
+            old = self.read("chunks", repo).select("chunk_id", "search_text")
+            held = self.read("postings", repo)
+            self._put("chunks", conform(new, "chunks"), [repo])
+            now = self.read("chunks", repo)
+            same = now.join(old, ["chunk_id", "search_text"], "left_semi").select("chunk_id")
+            fresh = now.join(same, "chunk_id", "left_anti").select("repo_id", "chunk_id", "search_text")
+            made = postings(fresh, "chunk_id", "search_text", ["repo_id"]).select(*held.columns)
+            self._put("postings", held.join(same, "chunk_id", "left_semi").select(*held.columns).unionByName(made), [repo])
+
     def put_metadata(self, row: dict) -> None:
         self.upsert("repositories", self.spark.createDataFrame([row | {"schema_version": VERSION}], TABLES["repositories"][0]))
 

@@ -22,7 +22,7 @@ def file_events(spark: SparkSession, root: str, ignore: list[str]) -> DataFrame:
     Spark's file source reports what is new; removals are found by comparing
     listings (``changes``), as no file source tells of them.
     """
-    source = spark.readStream.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    source = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary").option("recursiveFileLookup", True).load(root)
     base = root.removeprefix("file://").rstrip("/")
     rel = F.regexp_replace(F.regexp_replace("path", "^[a-z]+:/+", "/"), f"^{base}/", "")
     x = source.select(rel.alias("rel_path"), F.col("modificationTime").alias("ts"))

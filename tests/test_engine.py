@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from codeintel import registry
 from codeintel.functions.ids import stable_id
 from codeintel.functions.redact import DETECTORS, redact
-from codeintel.functions.text import query_terms, split_identifier, stem
+from codeintel.functions.text import analyse, split_identifier, stem
 from codeintel.operators import graph
 
 TINY = "/root/testdata/sf0.001"
@@ -21,7 +21,12 @@ def test_split_and_stem(spark):
 
 
 def test_query_terms():
-    assert query_terms('how are "token pairs" signed') == (["signed"], ["token pairs"])
+    q = analyse('how are "token pairs" signed')
+    assert q.terms == ("signed", "sign") and q.phrases == ("token pairs",) and not q.looks_like_symbol
+    assert analyse("getUserById").looks_like_symbol and analyse("get_user").clauses()[0] == ["get", "user"]
+    assert "jwt" in analyse("where is auth").expanded and "auth" not in analyse("where is auth").expanded
+    assert analyse("???").terms == () and analyse("the is a").clauses() == [] and len(analyse("auth queue database payment").expanded) == 24
+    assert analyse("constructor").terms == ("constructor",)
 
 
 def test_ids(spark):
@@ -52,11 +57,19 @@ def test_reach_and_path(spark):
     assert graph.shortest_path(e, 4, 1) is None
 
 
-@pytest.mark.parametrize("bound", [1_000_000, 0])
-def test_strong_components(spark, bound):
+@pytest.mark.parametrize("rest", [200_000, 0])
+def test_strong_components(spark, rest):
     e = edges(spark, [(1, 2), (2, 1), (2, 3), (3, 4), (4, 3), (5, 5), (4, 6)])
-    got = {(r.node, r.component) for r in graph.strong_components(e, one_task_edges=bound).collect()}
+    got = {(r.node, r.component) for r in graph.strong_components(e, rest=rest).collect()}
     assert got == {(1, 1), (2, 1), (3, 3), (4, 3)}
+    assert {r.cycle for r in graph.cycles(e).collect()} == {"component 1", "component 3", "loop 5"}
+
+
+def test_reach_stops_at_a_number_of_nodes(spark):
+    e = edges(spark, [(1, 2), (1, 3), (2, 4), (3, 5)])
+    assert [r.node for r in graph.reachable(e, [1], 6, max_nodes=2).orderBy("node").collect()] == [2, 3]
+    assert [r.node for r in graph.reachable(e, [1], 6, max_nodes=1).collect()] == [2]
+    assert {(r.node, r.depth) for r in graph.reachable(e, [5], 6, reverse=True).collect()} == {(3, 1), (1, 2)}
 
 
 def test_tarjan_long_chain():
