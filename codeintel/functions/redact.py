@@ -85,10 +85,12 @@ def redacted_with_findings(df: DataFrame, text: str, out: str = "redacted", foun
 
 
 def _spans(c: Column, name: str, pattern: str) -> Column:
-    gaps = F.transform(F.split(c, pattern, -1), F.length)
-    sizes = F.transform(F.regexp_extract_all(c, F.lit(pattern), F.lit(0)), F.length)
+    found = F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
+    pairs = F.zip_with(F.slice(F.split(c, pattern, -1), F.lit(1), F.size(found)), found, lambda g, m: F.struct(F.length(g).alias("gap"), F.length(m).alias("length")))
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<pattern_id:string,index:int,length:int>>").alias("out"))
 
-    def total(a: Column, n: Column) -> Column:
-        return F.aggregate(F.slice(a, F.lit(1), n), F.lit(0), lambda s, x: s + x)
+    def step(s: Column, x: Column) -> Column:
+        start = s["at"] + x["gap"]
+        return F.struct((start + x["length"]).alias("at"), F.concat(s["out"], F.array(F.struct(F.lit(name).alias("pattern_id"), start.alias("index"), x["length"].alias("length")))).alias("out"))
 
-    return F.transform(sizes, lambda size, i: F.struct(F.lit(name).alias("pattern_id"), (total(gaps, i + 1) + total(sizes, i)).alias("index"), size.alias("length")))
+    return F.aggregate(pairs, zero, step, lambda s: s["out"])
