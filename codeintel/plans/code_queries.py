@@ -108,13 +108,13 @@ def find_references(spark, d):
     return lookup.references(r, lookup.symbols(r.symbols, "parseToken", True, limit=10))
 
 
-@query(f"""{WITH}, me AS (SELECT symbol_id FROM cs WHERE name = 'parseToken' ORDER BY is_exported DESC, complexity DESC, name, symbol_id LIMIT 1), e AS (SELECT 'calls' AS direction, to_id AS peer_id, edge_id, confidence FROM ce JOIN me ON from_id = symbol_id WHERE kind = 'calls'
+@query(f"""{WITH}, me AS (SELECT to_id AS symbol_id FROM ce WHERE kind = 'calls' GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1), e AS (SELECT 'calls' AS direction, to_id AS peer_id, edge_id, confidence FROM ce JOIN me ON from_id = symbol_id WHERE kind = 'calls'
  UNION ALL SELECT 'called by', from_id, edge_id, confidence FROM ce JOIN me ON to_id = symbol_id WHERE kind = 'calls'), n AS (SELECT *, row_number() OVER (PARTITION BY direction ORDER BY edge_id) AS nth FROM e)
 SELECT direction, coalesce(s.qualified_name, f.rel_path, peer_id) AS peer, coalesce(s.rel_path, f.rel_path) AS peer_path, confidence FROM n LEFT JOIN cs s ON s.symbol_id = peer_id LEFT JOIN cf f ON f.file_id = peer_id WHERE nth <= 40""")
 def symbol_peers(spark, d):
     r = c.repo(spark, d)
-    s = lookup.symbols(r.symbols, "parseToken", True, limit=1).select(F.col("symbol_id").alias("me"))
     e = r.edges.where("kind = 'calls'")
+    s = e.groupBy(F.col("to_id").alias("me")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "me").limit(1).select("me")
     out = lookup.ends(e.join(s, F.col("from_id") == F.col("me")).drop("me").orderBy("edge_id").limit(40), r, "to").withColumn("direction", F.lit("calls"))
     inn = lookup.ends(e.join(s, F.col("to_id") == F.col("me")).drop("me").orderBy("edge_id").limit(40), r, "from").withColumn("direction", F.lit("called by"))
     return out.unionByName(inn).select("direction", "peer", "peer_path", "confidence")
