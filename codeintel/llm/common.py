@@ -50,7 +50,24 @@ def materialize(df: DataFrame, compression: str = "zstd") -> DataFrame:
     spark = df.sparkSession
     path = shared_dir(spark)
     df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes the files of materialized tables that nothing lazy reads any more."""
+    for t in tables:
+        path = getattr(t, "_scratch", None)
+        if path:
+            p = t.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            t._scratch = None
+
+
+def text_key(text: str | Column) -> Column:
+    """16 bytes that equal texts have in common: what results that depend on the text alone are joined by."""
+    return F.unhex(F.md5(whole(text)))
 
 
 def parts(spark: SparkSession) -> int:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -30,6 +30,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         small = down.join(down.groupBy("u").agg(F.min("v").alias("m")), "u")
         nxt = materialize(small.select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").unionAll(small.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct())
         now = _mark(nxt)
+        discard(cur)
         cur = nxt
         if now == mark:
             break
@@ -37,7 +38,9 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError("components did not converge")
     low = cur.groupBy("b").agg(F.lit(1)).select(F.col("b").alias("node"), F.col("b").alias("component"))
-    return cur.select(F.col("a").alias("node"), F.col("b").alias("component")).unionAll(low)
+    out = cur.select(F.col("a").alias("node"), F.col("b").alias("component")).unionAll(low)
+    out._scratch = cur._scratch
+    return out
 
 
 def _mark(edges: DataFrame) -> tuple:

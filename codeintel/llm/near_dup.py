@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _arrow_schema, bounded, fresh, materialize, whole
+from .common import _arrow_schema, bounded, discard, fresh, materialize, whole
 from .components import components
 
 BINS, ROWS, BANDS = 256, 6, 42
@@ -226,10 +226,12 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     # The least member of a bucket is found with map-side combining, and joined
     # back only where the bucket has others: a hot bucket is one row on that side,
     # and adaptive execution splits the other.
-    placed_in = materialize(classes.select("id", F.explode("bands").alias("bucket")))
+    placed_in = classes.select("id", F.explode("bands").alias("bucket"))
     centres = placed_in.groupBy("bucket").agg(F.min("id").alias("centre"), F.max("id").alias("last")).where("centre <> last").select("bucket", "centre")
     star = placed_in.join(centres, "bucket").where("id <> centre")
-    groups = materialize(components(star.select(F.col("id").alias("a"), F.col("centre").alias("b"))))
+    joined = components(star.select(F.col("id").alias("a"), F.col("centre").alias("b")))
+    groups = materialize(joined)
+    discard(joined)
 
     # Sizes of the groups decide their blocks.
     weight = known.groupBy("doc_id").agg(F.max("n_bytes").alias("n_bytes"))
@@ -254,7 +256,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
         at = with_text.where("blocks > 1").select("gid", "id", "block", "blocks").join(part, F.col("id") == F.col("node"), "left").withColumn("class", F.coalesce("component", "id"))
         count = at.groupBy("gid", "class").count()
         largest = count.groupBy("gid").agg(F.max(F.struct("count", "class")).alias("l")).select("gid", F.col("l.class").alias("largest"))
-        rest = materialize(at.join(largest, "gid").where("class <> largest").select("gid", "id", "class"))
+        rest = rest_table = materialize(at.join(largest, "gid").where("class <> largest").select("gid", "id", "class"))
         # Members outside the largest class meet every block once.
         n_rest = rest.groupBy("gid").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("slots"))
         rest = rest.join(n_rest, "gid").withColumn("slot", F.pmod(F.xxhash64("id", F.lit(2)), F.col("slots")).cast("int"))
@@ -263,8 +265,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
         right = texts.where("blocks > 1").join(n_rest, "gid").select("gid", "id", "block", "text", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("slot"))
         cross = left.select(_task("gid", "slot", "block").alias("task"), F.lit(0).alias("side"), "id", "text").unionByName(right.select(_task("gid", "slot", "block").alias("task"), F.lit(1).alias("side"), "id", "text"))
         edges = materialize(once.unionByName(_confirm(cross, percent)))
+        discard(with_text, rest_table, once, part)
 
     linked = components(edges)
+    discard(edges, members, groups)
     named = classes.select("key", "id").join(linked, F.col("id") == F.col("node"), "left").select("key", F.coalesce("component", "id").alias("component_id"))
     out = sigs.select("doc_id", "n_shingles", "key").join(named, "key", "left")
     component = F.when(F.col("key").isNull(), F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("component_id"))

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, materialize, whole
+from .common import fresh, materialize, text_key, whole
 
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"  # a run that is shorter fails whole, wherever in it one starts
@@ -50,18 +50,20 @@ def _looks_live(v: Column) -> Column:
     return (kinds >= F.least(F.lit(9), F.length(v) * 2 / 3)) & v.rlike("[0-9]") & v.rlike("[A-Za-z]") & ~v.rlike(PLACEHOLDER)
 
 
-def candidates(docs: DataFrame, owner: str = "source", repo: tuple[str, ...] = ("source", "lang"), id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(rows, candidates): row_id and doc_id of every row; row_id, owner, repo, kind, start, stop, value."""
+def candidates(docs: DataFrame, owner: str = "source", repo: tuple[str, ...] = ("source", "lang"), id_col: str = "doc_id", text_col: str = "text", keyed: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(rows, candidates): row_id, doc_id (and text_key, if ``keyed``) of every row; row_id, owner, repo, kind, start, stop, value."""
     text = F.col("__t")
     found = {"assign": (ASSIGN, 2), "access": (ACCESS, 0), "hex": (HEX, 0), "owned": (OWNED, 0)}
     base = docs.select(
+        *([text_key(text_col).alias("text_key")] if keyed else []),
         F.col(id_col).cast("long").alias("doc_id"),
         F.coalesce(F.col(owner).cast("string"), F.lit("\0null")).alias("owner"),
         F.sha2(F.to_json(F.array(*[F.col(c).cast("string") for c in repo])), 256).alias("repo"),
         whole(text_col).alias("__t"),
-        (F.col(row_col) if row_col else F.monotonically_increasing_id()).alias("row_id"),
+        F.monotonically_increasing_id().alias("row_id"),
     )
-    rows = materialize(base.select("row_id", "doc_id", "owner", "repo", *[_matches(text, p, g).alias(k) for k, (p, g) in found.items()]))
+    names = ["row_id", "doc_id", *(["text_key"] if keyed else [])]
+    rows = materialize(base.select(*names, "owner", "repo", *[_matches(text, p, g).alias(k) for k, (p, g) in found.items()]))
     some = rows.where(" OR ".join(f"size({k}) > 0" for k in KINDS))
     each = None
     for n, k in enumerate(KINDS):
@@ -71,7 +73,7 @@ def candidates(docs: DataFrame, owner: str = "source", repo: tuple[str, ...] = (
     stop = F.sum(F.col("m.gap") + F.col("m.found")).over(before)
     each = each.select("row_id", "owner", "repo", "kind", (stop - F.col("m.found")).alias("start"), stop.alias("stop"), F.col("m.value").alias("value"))
     fits = (F.col("kind") != 0) | (F.length("value") >= 6)
-    return rows.select("row_id", "doc_id"), each.where(fits)
+    return rows.select(*names), each.where(fits)
 
 
 def ownership(found: DataFrame) -> DataFrame:
@@ -80,14 +82,13 @@ def ownership(found: DataFrame) -> DataFrame:
     return pairs.groupBy("hash", "owner").agg(F.count("*").alias("r")).groupBy("hash").agg(F.count("*").alias("n_owners"), F.sum("r").alias("n_repos"))
 
 
-def scan(docs: DataFrame, example_owners: int = 4, owner: str = "source", repo: tuple[str, ...] = ("source", "lang"), id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
-    """One row a row of ``docs``: doc_id and found, an array of
+def scan(docs: DataFrame, example_owners: int = 4, owner: str = "source", repo: tuple[str, ...] = ("source", "lang"), id_col: str = "doc_id", text_col: str = "text", keyed: bool = False) -> DataFrame:
+    """One row a row of ``docs``: doc_id (text_key, if ``keyed``) and found, an array of
     struct<start, kind, stop, hash, n_owners, n_repos, live>, by start and kind.
 
     ``example_owners`` distinct owners, or more, make a value an example.
-    ``row_col`` names a column that tells rows apart, if there is one; it is row_id.
     """
-    rows, each = candidates(docs, owner, repo, id_col, text_col, row_col)
+    rows, each = candidates(docs, owner, repo, id_col, text_col, keyed)
     live_form = _looks_live(F.col("value"))
     each = materialize(each.select("row_id", "owner", "repo", "kind", "start", "stop", F.sha2("value", 256).alias("hash"), live_form.alias("form")).where("kind < 3 OR form"))
     stats = ownership(each).select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
@@ -101,7 +102,7 @@ def scan(docs: DataFrame, example_owners: int = 4, owner: str = "source", repo:
     known = known.where("kind < 3 OR ((reach IS NULL OR reach <= start) AND (next IS NULL OR next >= stop))")
     spans = known.groupBy("row_id").agg(F.sort_array(F.collect_list(F.struct("start", "kind", "stop", "hash", "n_owners", "n_repos", "live"))).alias("found"))
     none = F.array().cast(spans.schema["found"].dataType)
-    return rows.join(spans, "row_id", "left").select("row_id", "doc_id", F.coalesce("found", none).alias("found"))
+    return rows.join(spans, "row_id", "left").select(*rows.columns, F.coalesce("found", none).alias("found"))
 
 
 def _name(kind: Column) -> Column:
@@ -149,12 +150,12 @@ def redact_documents(docs: DataFrame, example_owners: int = 4, id_col: str = "do
     where there is one, follows the text.
     """
     cols = docs.columns
-    row, key, spans = fresh(docs, "__row", "__id", "__found")
-    docs = materialize(docs.withColumn(row, F.monotonically_increasing_id()))
-    found = scan(docs, example_owners, id_col=id_col, text_col=text_col, row_col=row)
-    hit = found.select(F.col("row_id").alias(key), F.filter("found", lambda x: x["n_owners"] < example_owners).alias(spans)).where(F.size(spans) > 0)
-    # most rows have no secret: the texts aren't shuffled, but for those that have
-    out = docs.join(hit, F.col(row) == F.col(key), "left")
+    key, spans = fresh(docs, "__key", "__found")
+    found = scan(docs, example_owners, id_col=id_col, text_col=text_col, keyed=True)
+    hit = found.select(F.col("text_key").alias(key), F.filter("found", lambda x: x["n_owners"] < example_owners).alias(spans)).where(F.size(spans) > 0)
+    # equal texts have equal spans, so they are joined by their text, and no copy of the texts is kept
+    hit = hit.groupBy(key).agg(F.first(spans).alias(spans))
+    out = docs.join(hit, text_key(text_col) == F.col(key), "left")
     text = F.when(F.col(spans).isNotNull(), redacted(F.col(text_col), F.col(spans))).otherwise(F.col(text_col))
     out = out.withColumn(text_col, text)
     if "n_chars" in cols:
