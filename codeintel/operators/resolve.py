@@ -55,7 +55,9 @@ def symbols(raw: DataFrame, files: DataFrame) -> DataFrame:
 def _probes(base: Column, extensions: list[str]) -> Column:
     """``base`` as it is, with each extension, and as a folder with an index file of each."""
     tails = ["", *extensions, *(f"/{i}{e}" for e in extensions for i in INDEX)]
-    return F.transform(F.array(*[F.lit(t) for t in tails]), lambda t: F.concat(base, t))
+    all_ = F.array(*[F.lit(t) for t in tails])
+    # through an array of one, so that the base is worked out once and not for each tail
+    return F.flatten(F.transform(F.array(base), lambda b: F.transform(all_, lambda t: F.concat(b, t))))
 
 
 def candidates(language: Column, path: Column, spec: Column, aliases: dict[str, list[str]] | None = None, packages: list[tuple[str, str]] | None = None, go_module: str | None = None) -> Column:
