@@ -348,7 +348,8 @@ _ENCODERS: dict = {}
 def encoder(path: str, spans: bool = False) -> ChunkEncoder:
     """One encoder per worker process and file."""
     if (path, spans) not in _ENCODERS:
-        _ENCODERS[path, spans] = ChunkEncoder(path, spans=spans)
+        # with spans, words are only in the dictionaries, so these are larger
+        _ENCODERS[path, spans] = ChunkEncoder(path, limit=600_000 if spans else 250_000, spans=spans)
     return _ENCODERS[path, spans]
 
 
