@@ -3,16 +3,15 @@
 1. *TF-IDF passages.*  Every document is read once; its words become ids of the
    benchmark's vocabulary (0: any other word), kept in a scratch table.  Document
    frequencies are counted over all its passages of 32 words.
-2. *Distributed randomised SVD.*  Passages whose idf mass (the sum of squared idf
-   of their benchmark words) is a stated part of the least query passage's can
-   hold one; a bounded, hashed sample of them (``sample``) and all query passages
-   are the rows of A, of unit length.  Two passes apply (A'A) to a random, then to
-   an orthonormal basis, by partial sums a partition; a small eigenproblem turns
-   the basis into right singular vectors.
-3. *Candidates.*  Every window of every document that passes the same screen is
-   projected and compared with all query passages (the benchmark cut alike), in
-   blocks: by cosine in the latent space, and by the share of the window's whole
-   TF-IDF length that points at the query.
+2. *Distributed randomised SVD.*  All passages of all documents, as long as query
+   passages, and all query passages are the rows of A, of unit length.  Two passes
+   apply (A'A) to a random, then to an orthonormal basis, by partial sums a task; a
+   small eigenproblem turns the basis into right singular vectors.
+3. *Candidates.*  Windows whose idf mass (the sum of squared idf of their benchmark
+   words) is a stated part of the least query passage's can hold one.  Every such
+   window of every document is projected and compared with all query passages (the
+   benchmark cut alike), in blocks: by cosine in the latent space, and by the share
+   of the window's whole TF-IDF length that points at the query.
 4. *Containment.*  The latent space loses passages as the benchmark grows, and
    items shorter than a window; so beside it stands an exact search
    (``Containment``).  A stretch that passes the checks below holds a least number
@@ -36,7 +35,6 @@ benchmark gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import re
-import zlib
 from array import array
 from collections.abc import Iterator
 from itertools import repeat
@@ -46,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _arrow_schema, bounded, discard, fresh, materialize, text_key, whole
+from .common import _arrow_schema, bounded, fresh, materialize, text_key, whole
 
 WORD = re.compile(r"\w+")
 SCHEMA = "doc_id bigint, item_id bigint, cosine double, lcs_words int, item_words int, lcs double, answer double, first_word int, last_word int"
@@ -137,7 +135,7 @@ class Containment:
             self.masks.append(mask)
         n = np.array(size, np.int64)
         long = n >= queries.passage
-        self.size, self.least = n, np.array(least, np.int64)
+        self.size, self.least, self.lengths = n, np.array(least, np.int64), size
         self.step = np.where(long, queries.passage // 2, np.maximum(1, n // 4))
         self.reach = np.where(long, n + queries.passage, n + n // 4)
         order = np.argsort(words, kind="stable")
@@ -193,39 +191,53 @@ class Containment:
         doc = np.searchsorted(base, at, "right") - 1
         return doc, item, at - base[doc]
 
-    def common(self, item: int, region: list[int]) -> int:
-        """``lcs_length`` of an item and a region."""
-        get = self.masks[item].get
-        full = v = (1 << int(self.size[item])) - 1
+    def common(self, item: int, region: list[int], share: float = 0) -> int:
+        """``lcs_length`` of an item and a region; 0 if so few words of the item are in the region that it is under ``share``."""
+        size, get = self.lengths[item], self.masks[item].get
+        if sum([m.bit_count() for m in map(get, set(region)) if m]) / size < share:
+            return 0
+        full = v = (1 << size) - 1
         for y in region:
             if m := get(y):
                 u = v & m
                 v = (v + u | v - u) & full
-        return int(self.size[item]) - v.bit_count()
+        return size - v.bit_count()
 
 
-def _passages(ids: np.ndarray, size: int = 32) -> np.ndarray:
-    """The passage number of each word; a short rest joins the one before."""
-    n = len(ids)
-    return np.minimum(np.arange(n) // size, max(0, n // size - 1))
+def _passages(batches: Iterator[pa.RecordBatch], dtype, size: int, words: int = 1_000_000):
+    """(ids of many documents end to end, passage of each word, passages), by chunks.
 
-
-def _joined(batches: Iterator[pa.RecordBatch], dtype, words: int = 1_000_000):
-    """(ids of many documents end to end, passage number of each word), by chunks."""
-    ids, passage, base, held = [], [], 0, 0
+    Passages have ``size`` words; a short rest joins the one before.
+    """
+    docs, held = [], 0
     for b in batches:
         for x in b.column(0):
-            v = np.frombuffer(x.as_buffer(), dtype)
-            if len(v):
-                p = _passages(v) + base
-                base = int(p[-1]) + 1
-                ids.append(v), passage.append(p)
-                held += len(v)
+            if len(ids := np.frombuffer(x.as_buffer(), dtype)):
+                docs.append(ids)
+                held += len(ids)
             if held >= words:
-                yield np.concatenate(ids), np.concatenate(passage)
-                ids, passage, base, held = [], [], 0, 0
-    if ids:
-        yield np.concatenate(ids), np.concatenate(passage)
+                yield _cut(docs, size)
+                docs, held = [], 0
+    if docs:
+        yield _cut(docs, size)
+
+
+def _cut(docs: list[np.ndarray], size: int) -> tuple[np.ndarray, np.ndarray, int]:
+    length = np.array([len(d) for d in docs], np.int64)
+    n = np.maximum(1, length // size)
+    within = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)
+    passage = np.minimum(within // size, np.repeat(n - 1, length)) + np.repeat(np.cumsum(n) - n, length)
+    return np.concatenate(docs), passage, int(n.sum())
+
+
+def _counts(ids: np.ndarray, passage: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(passage, term, times), in this order, of the terms of each passage."""
+    on = np.flatnonzero(ids)
+    key = passage[on] * size + ids[on]
+    key.sort()
+    at = np.flatnonzero(np.diff(key, prepend=-1))
+    row, term = np.divmod(key[at], size)
+    return row, term, np.diff(at, append=len(key))
 
 
 def document_frequencies(table: DataFrame, size: int, dtype) -> tuple[np.ndarray, int]:
@@ -233,11 +245,9 @@ def document_frequencies(table: DataFrame, size: int, dtype) -> tuple[np.ndarray
 
     def run(batches):
         df = np.zeros(size + 1, np.int64)
-        for ids, p in _joined(batches, dtype):
-            on = ids > 0
-            pair = np.unique(p[on] * (size + 1) + ids[on])
-            df += np.bincount(pair % (size + 1), minlength=size + 1)
-            df[0] += int(p[-1]) + 1
+        for ids, passage, n in _passages(batches, dtype, 32):
+            df += np.bincount(_counts(ids, passage, size + 1)[1], minlength=size + 1)
+            df[0] += n
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(df[at], pa.int64())], names=["term", "n"])
 
@@ -248,46 +258,12 @@ def document_frequencies(table: DataFrame, size: int, dtype) -> tuple[np.ndarray
     return df, int(df[0])
 
 
-def _windows(ids: np.ndarray, width: int, stride: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and stops of sliding windows; the last ends with the text."""
-    n = len(ids)
-    starts = np.arange(0, max(1, n - width + stride), stride)
-    return starts, np.minimum(starts + width, n)
-
-
 def _sums(values: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
     total = np.zeros((len(values) + 1, *values.shape[1:]), np.float64 if values.ndim == 1 else np.float32)
     np.cumsum(values, axis=0, out=total[1:])
     return total[stops] - total[starts]
 
 
-def informative_passages(table: DataFrame, queries: Queries, idf: np.ndarray, mass: float, cap: int) -> DataFrame:
-    """A bounded sample of the corpus windows that pass the screen: ids of each.
-
-    A partition keeps at most its share of ``cap``, by a hash of the window.
-    """
-    share = max(50, cap // max(1, len(table.inputFiles())))
-    width, dtype, square = queries.passage, queries.dtype, idf**2
-
-    def run(batches):
-        kept: list[tuple[int, bytes]] = []
-        for b in batches:
-            for x in b.column(0):
-                ids = np.frombuffer(x.as_buffer(), dtype)
-                if not len(ids):
-                    continue
-                starts, stops = _windows(ids, width, width)
-                for i in np.flatnonzero(_sums(square[ids], starts, stops) >= mass):
-                    w = ids[starts[i] : stops[i]].tobytes()
-                    kept.append((zlib.crc32(w), w))
-            if len(kept) > 4 * share:
-                kept = sorted(kept)[:share]
-        kept = sorted(kept)[:share]
-        yield pa.RecordBatch.from_arrays([pa.array([w for _, w in kept], pa.binary())], names=["ids"])
-
-    return table.select("ids").mapInArrow(run, "ids binary")
-
-
 def _unit_rows(passages: list[np.ndarray], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, term, weight) of unit-length TF-IDF passages."""
     row = np.repeat(np.arange(len(passages)), [len(p) for p in passages])
@@ -314,29 +290,66 @@ def _gram(rows: tuple[np.ndarray, np.ndarray, np.ndarray], basis: np.ndarray) ->
     return out
 
 
-def gram_apply(passages: DataFrame, basis: np.ndarray, idf: np.ndarray, dtype, tasks: int = 16) -> tuple[np.ndarray, int]:
-    """((A'A) @ basis, rows of A) by partial sums over at most ``tasks`` partitions."""
-    k = basis.shape[1]
+def _stretch_sums(source: np.ndarray, at: np.ndarray, weight: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(groups, sums of ``source[at]`` by ``weight``) of the stretches of equal ``group``; those of one length are added up at once."""
+    first = np.flatnonzero(np.diff(group, prepend=-1))
+    n = np.diff(first, append=len(group))
+    out = np.empty((len(first), source.shape[1]), source.dtype)
+    for length in np.unique(n):
+        which = np.flatnonzero(n == length)
+        words = first[which][:, None] + np.arange(length)
+        out[which] = np.matmul(weight[words][:, None, :], source[at[words]])[:, 0]
+    return group[first], out
+
+
+def gram_apply(table: DataFrame, basis: np.ndarray, idf: np.ndarray, queries: Queries, rows: int = 4096) -> tuple[np.ndarray, int]:
+    """((A'A) @ basis, rows of A) over all passages of ``table`` that have a term.
+
+    Each task adds up its passages, ``rows`` at a time; its sums are added up by term.
+    """
+    size, k = basis.shape
+    width, dtype = queries.passage, queries.dtype
+    basis = basis.astype(np.float32)
 
     def run(batches):
-        total, n = np.zeros(basis.shape), 0
-        for b in batches:
-            got = [np.frombuffer(x.as_buffer(), dtype) for x in b.column(0)]
-            total += _gram(_unit_rows(got, idf), basis)
-            n += len(got)
+        total, n = np.zeros((size, k)), 0
+        for ids, passage, count in _passages(batches, dtype, width):
+            row, term, times = _counts(ids, passage, size)
+            w = times * idf[term]
+            square = np.bincount(row, w * w, count)
+            n += int(np.count_nonzero(square))
+            w = (w / np.sqrt(square)[row]).astype(np.float32)
+            cuts = np.searchsorted(row, np.arange(0, count + rows, rows))
+            for block, (a, z) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+                r, t, v = row[a:z] - block * rows, term[a:z], w[a:z]
+                product = np.zeros((rows, k), np.float32)
+                at, sums = _stretch_sums(basis, t, v, r)
+                product[at] = sums
+                order = np.argsort(t.astype(dtype), kind="stable")
+                at, sums = _stretch_sums(product, r[order], v[order], t[order])
+                total[at] += sums
         total[0, 0] = n  # row 0 stands for no term
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array([r.tobytes() for r in total.astype("<f4")], pa.binary())], names=["term", "v"])
+        at = np.flatnonzero(total.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array([r.tobytes() for r in total[at].astype("<f4")], pa.binary())], names=["term", "v"])
 
-    parts = passages.coalesce(tasks).mapInArrow(run, "term bigint, v binary")
-    out = np.zeros(basis.shape)
-    for term, v in parts.toLocalIterator():  # tasks * terms rows of a block's vocabulary
-        out[term] += np.frombuffer(v, "<f4")
-    n, out[0] = int(out[0, 0]), np.zeros(k)
+    def added(batches):
+        total: dict[int, np.ndarray] = {}
+        for b in batches:
+            for term, v in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                total[term] = total.get(term, 0.0) + np.frombuffer(v.as_buffer(), "<f4").astype(np.float64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([v.tobytes() for v in total.values()], pa.binary())], names=["term", "v"])
+
+    tasks = max(16, table.sparkSession.sparkContext.defaultParallelism)
+    partial = table.select("ids").coalesce(tasks).mapInArrow(run, "term bigint, v binary")
+    out = np.zeros((size, k))
+    for term, v in partial.repartition(8, "term").mapInArrow(added, "term bigint, v binary").toLocalIterator():  # a row a term
+        out[term] = np.frombuffer(v)
+    n, out[0] = int(out[0, 0]), 0
     return out, n
 
 
-def latent_space(passages: DataFrame, queries: Queries, idf: np.ndarray, rank: int = 128, extra: int = 8) -> np.ndarray:
-    """V: right singular vectors, a row a term, of corpus and query passages.
+def latent_space(table: DataFrame, queries: Queries, idf: np.ndarray, rank: int = 128, extra: int = 8) -> np.ndarray:
+    """V: right singular vectors, a row a term, of all corpus and query passages.
 
     Randomised SVD: (A'A) is applied twice.  The query passages weigh as much in
     all as the corpus passages, so that what tells items apart stays in the space.
@@ -349,7 +362,7 @@ def latent_space(passages: DataFrame, queries: Queries, idf: np.ndarray, rank: i
     y = np.zeros_like(basis)
     for _ in range(2):
         basis = np.linalg.qr(y)[0] if y.any() else basis
-        corpus, n = gram_apply(passages, basis, idf, queries.dtype)
+        corpus, n = gram_apply(table, basis, idf, queries)
         y = corpus * (len(queries.owner) / max(1, n)) + _gram(own, basis)
     _, u = np.linalg.eigh((basis.T @ y + y.T @ basis) / 2)
     return (basis @ u[:, ::-1])[:, : min(rank, k)]
@@ -375,7 +388,7 @@ def _search(table: DataFrame, queries: Queries, v: np.ndarray, idf: np.ndarray,
     def accept(o: int, ids: np.ndarray, first: int, last: int) -> tuple | None:
         item, text, ans = items[o]
         region = ids[first:last].tolist()
-        common = exact.common(o, region)
+        common = exact.common(o, region, min(lcs, lcs_answer))
         ratio = common / len(text)
         if ratio < min(lcs, lcs_answer) or (len(text) < 3 and ratio < 1):
             return None
@@ -460,7 +473,6 @@ def contaminated(
     projected: float = 0.15,
     mass: float = 0.6,
     rank: int = 128,
-    sample: int = 50_000,
     lcs: float = 0.6,
     lcs_answer: float = 0.5,
     answer: float = 0.8,
@@ -487,9 +499,7 @@ def contaminated(
         idf = np.log((n + 1) / (df + 1.0)) + 0.1
         idf[0] = 0
         least = mass * min((idf[np.array(queries.items[o][1][a:b])] ** 2).sum() for o, (a, b) in zip(queries.owner, queries.spans, strict=True))
-        passages = materialize(informative_passages(table, queries, idf, least, sample))
-        v = latent_space(passages, queries, idf, rank)
-        discard(passages)
+        v = latent_space(table, queries, idf, rank)
         found = _search(table, queries, v, idf, least, cosine, projected, lcs, lcs_answer, answer, schema)
         out = found if out is None else out.unionAll(found)
     return out if out is not None else spark.createDataFrame([], schema)

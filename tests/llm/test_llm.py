@@ -277,6 +277,64 @@ def test_lcs_and_leaks(spark):
     assert got == {(100, 2), (101, 3)}
 
 
+def whole_gram(texts, bench, basis, idf):
+    """((A'A) @ basis, rows of A) by plain Python: every 24 words of every text are a row; a short rest joins the one before."""
+    ids = {}
+    for t in bench:
+        for w in t.split():
+            ids.setdefault(w, len(ids) + 1)
+    rows = []
+    for t in texts:
+        words = [ids.get(w, 0) for w in t.split()]
+        n = max(1, len(words) // 24)
+        for k in range(n):
+            row = np.bincount(words[24 * k : 24 * k + 24 if k < n - 1 else None], minlength=len(idf)) * idf
+            if row.any():
+                rows.append(row / np.linalg.norm(row))
+    a = np.array(rows)
+    return a.T @ (a @ basis), len(rows)
+
+
+def test_the_latent_space_is_fitted_on_all_passages(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    words = np.array([f"term{x}" for x in range(60)])
+    bench = [" ".join(words[k : k + 30]) for k in (0, 15, 30)]
+    pool = np.append(words, ["other"] * 60)
+    texts = [" ".join(rng.choice(pool, 24 * 300)) for _ in range(200)]
+    texts += [" ".join(rng.choice(pool, n)) for n in (1, 5, 24, 47, 48, 71)] + ["other " * 100 + "term1"]
+    seen, apply = [], decontamination.gram_apply
+
+    def spy(table, basis, idf, *rest):
+        out = apply(table, basis, idf, *rest)
+        seen.append((basis, idf, *out))
+        return out
+
+    monkeypatch.setattr(decontamination, "gram_apply", spy)
+    d = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    decontamination.contaminated(d, spark.createDataFrame(list(enumerate(bench)), "item_id long, text string"))
+    assert len(seen) == 2
+    for basis, idf, got, n in seen:
+        want, rows = whole_gram(texts, bench, basis, idf)
+        assert n == rows > 60_000
+        assert np.abs(got - want).max() <= 1e-4 * np.abs(want).max()
+
+
+def test_passages_add_up_alike_in_blocks_of_any_size(spark):
+    rng = np.random.default_rng(9)
+    words = np.array([f"term{x}" for x in range(600)])
+    bench = [" ".join(words[k : k + 30]) for k in range(0, 600, 30)]
+    texts = [" ".join(words[np.minimum(599, rng.geometric(0.01, 500))]) for _ in range(30)] + ["", "none of them"]
+    queries = decontamination.Queries([(k, t, None) for k, t in enumerate(bench)])
+    table = spark.createDataFrame([(k, queries.encode(t)) for k, t in enumerate(texts)], "doc_id long, ids binary")
+    idf = np.append(0, rng.uniform(0.1, 5, 600))
+    basis = rng.standard_normal((601, 12))
+    want, rows = whole_gram(texts, bench, basis, idf)
+    for block in (4096, 64, 7, 1):
+        got, n = decontamination.gram_apply(table, basis, idf, queries, block)
+        assert n == rows
+        assert np.abs(got - want).max() <= 1e-4 * np.abs(want).max()
+
+
 def test_shared_dir_is_the_sessions(spark):
     assert common.shared_dir(spark).startswith(spark.conf.get("spark.checkpoint.dir"))
 
