@@ -335,6 +335,28 @@ def test_passages_add_up_alike_in_blocks_of_any_size(spark):
         assert np.abs(got - want).max() <= 1e-4 * np.abs(want).max()
 
 
+def test_the_pipelines_stage_fits_on_all_its_documents(spark, monkeypatch, tmp_path):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(10)
+    words = np.array([f"term{x}" for x in range(60)])
+    bench = [" ".join(words[k : k + 30]) for k in (0, 15, 30)]
+    pool = np.append(words, ["other"] * 60)
+    texts = [" ".join(rng.choice(pool, 24 * 300)) for _ in range(200)] + ["other " * 50 + bench[1], "term1"]
+    spark.createDataFrame(list(enumerate(bench)), "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    fitted, apply = [], decontamination.gram_apply
+
+    def spy(*given):
+        out = apply(*given)
+        fitted.append(out[1])
+        return out
+
+    monkeypatch.setattr(decontamination, "gram_apply", spy)
+    kept = corpus_pipeline.drop_benchmark_leaks(spark, docs(spark, [(k, t, "s") for k, t in enumerate(texts)]), str(tmp_path))
+    assert 200 not in {r.doc_id for r in kept.select("doc_id").collect()}
+    assert fitted == [sum(any(w != "other" for w in t[24 * k : 24 * k + 24 if k < n - 1 else None]) for t in map(str.split, texts) for n in [max(1, len(t) // 24)] for k in range(n))] * 2
+
+
 def test_shared_dir_is_the_sessions(spark):
     assert common.shared_dir(spark).startswith(spark.conf.get("spark.checkpoint.dir"))
 
