@@ -10,10 +10,12 @@ Token labels come from document labels: in toxic documents, words whose form or
 prefix occurs significantly often there (a Chernoff bound over all candidates)
 are the toxic ones, all others and all of clean documents are clean.
 
-Fitting takes a bounded sample of labelled rows: at most ``per_class`` toxic and
-twice as many clean documents, by a hash of doc_id, none over ``max_chars``
-characters, and at most ``segments`` segments of 32 words for the chain.  Scoring reads every whole text.
-Labels, lang, source and doc_id are never features.
+Fitting takes every labelled row that isn't held out, with its whole text.  The
+texts are read once and kept in a scratch table as blocks of word ids
+(``Block``), cut into segments of 32 words for the chain; counts, gradients and the
+steps of the document score are sums over all blocks, added up a task and then on
+the driver (``Spread``; a few blocks stay on the driver: ``Gathered``).  Scoring
+reads every whole text.  Labels, lang, source and doc_id are never features.
 
 Edge cases: a null or empty text, and one without words, gets the score of no
 evidence; without any usable label of one class, every score is the prior;
@@ -25,18 +27,25 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
+from collections.abc import Callable, Iterable, Iterator
+from itertools import count
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _arrow_schema, bounded, fresh, materialize, whole
+from .common import _arrow_schema, bounded, discard, fresh, materialize, whole
 
 WORD = re.compile(r"\w+")
 BITS = 18
 SEGMENT = 32
+NAMES = 6  # features of a word, at most
+NO_FEATURE = 1 << BITS
+BLOCK_WORDS = 250_000
+GATHERED_BLOCKS = 8
 
 
 def words_of(text: str) -> list[str]:
@@ -151,33 +160,138 @@ def evidence(m: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
-def _toxic_units(texts: list[str], labels: list[int], least: int = 5) -> set[str]:
-    """Units in significantly more toxic documents than chance gives.
+class Block(NamedTuple):
+    """Whole documents as word ids, the segments side by side."""
 
-    Only units of at least ``least`` toxic documents are counted in clean ones.
-    """
-    seen: Counter = Counter()
-    for t, y in zip(texts, labels, strict=True):
-        if y:
-            seen.update({u for w in set(words_of(t)) for u in units(w)})
-    need = math.log(max(2, len(seen))) + math.log(100)
-    seen = Counter({u: n for u, n in seen.items() if n >= least})
-    clean = dict.fromkeys(seen, 0)
-    for t, y in zip(texts, labels, strict=True):
-        if not y:
-            for u in {u for w in set(words_of(t)) for u in units(w) if u in clean}:
-                clean[u] += 1
-    p = sum(labels) / len(labels)
-    out = set()
-    for u, k in seen.items():
-        n = k + clean[u]
-        r = k / n
-        kl = r * math.log(r / p) + ((1 - r) * math.log((1 - r) / (1 - p)) if r < 1 else 0)
-        if r > max(0.5, p) and n * kl >= need:
-            out.add(u)
+    ids: np.ndarray  # first words of all segments, then second ones, and so on; longer segments first
+    alive: np.ndarray  # segments that have a first word, a second one, and so on
+    base: np.ndarray  # place of each segment's first word in the documents laid end to end
+    sizes: np.ndarray  # words of each document
+    labels: np.ndarray  # of each document
+    words: np.ndarray  # the forms by id, in UTF-8, ended by line feeds
+    features: np.ndarray  # NAMES feature ids of each form, filled up with NO_FEATURE: the first of all forms, then the second ones
+
+    def forms(self) -> list[str]:
+        return self.words.tobytes().decode("utf-8", "surrogatepass").split("\n")[:-1]
+
+
+TYPES = dict(zip(Block._fields, ("<u4", "<i8", "<i8", "<i8", "<i8", "<u1", "<i4"), strict=True))
+
+
+def _pack(block: Block) -> list[bytes]:
+    out = [np.asarray(x, TYPES[n]).tobytes() for n, x in zip(Block._fields, block, strict=True)]
+    if len(block.features) // NAMES < 1 << 16:
+        out[0] = block.ids.astype("<u2").tobytes()
     return out
 
 
+def _unpack(columns: dict[str, pa.Array], row: int) -> Block:
+    """A block with those of its arrays that are there; ids come with ``alive``, which tells their width."""
+    got = {n: columns[n][row].as_buffer() for n in columns}
+    types = dict(TYPES)
+    if "ids" in got and got["ids"].size == 2 * int(np.frombuffer(got["alive"], TYPES["alive"]).sum()):
+        types["ids"] = "<u2"
+    none = np.zeros(0, np.int64)
+    return Block(*(np.frombuffer(got[n], t) if n in got else none for n, t in types.items()))
+
+
+def blocks_of(docs: Iterable[tuple[str, int]], most: int = BLOCK_WORDS) -> Iterator[Block]:
+    """The blocks of (text, label) rows: ``most`` words, or a document."""
+    known: dict[str, bytes] = {}
+
+    def block() -> Block:
+        sizes = np.array([len(d) for d in held], np.int64)
+        flat, first = np.concatenate(held), np.cumsum(sizes) - sizes
+        n = -(-sizes // SEGMENT)
+        within = (np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)) * SEGMENT
+        length = np.minimum(SEGMENT, np.repeat(sizes, n) - within)
+        order = np.argsort(-length, kind="stable")
+        base = (np.repeat(first, n) + within)[order]
+        alive = len(length) - np.searchsorted(np.sort(length), np.arange(SEGMENT), "right")
+        ids = np.concatenate([flat[base[:m] + k] for k, m in enumerate(alive)])
+        rows = []
+        for w in types:
+            if (row := known.get(w)) is None:
+                if len(known) >= 300_000:
+                    known.clear()
+                f = feature_ids(w)
+                row = known[w] = np.array(f + [NO_FEATURE] * (NAMES - len(f)), "<i4").tobytes()
+            rows.append(row)
+        words = "".join([w + "\n" for w in types]).encode("utf-8", "surrogatepass")
+        return Block(ids, alive, base, sizes, np.array(labels, np.int64), np.frombuffer(words, np.uint8), np.ascontiguousarray(np.frombuffer(b"".join(rows), "<i4").reshape(-1, NAMES).T).reshape(-1))
+
+    types: defaultdict[str, int] = defaultdict(count().__next__)
+    held, labels, n = [], [], 0
+    for text, label in docs:
+        words = words_of(text)
+        held.append(np.fromiter(map(types.__getitem__, words), np.uint32, len(words)))
+        labels.append(int(label))
+        n += len(words)
+        if n >= most or len(held) >= most:
+            yield block()
+            types = defaultdict(count().__next__)
+            held, labels, n = [], [], 0
+    if held:
+        yield block()
+
+
+def unit_counts(block: Block) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(units, toxic documents, clean documents that have each)."""
+    forms = block.forms()
+    number: defaultdict[str, int] = defaultdict(count().__next__)
+    of_form = [[number[u] for u in units(w)] for w in forms]
+    if not forms:
+        return [], np.zeros(0, np.int64), np.zeros(0, np.int64)
+    many = np.array([len(x) for x in of_form])
+    flat, first = np.array([u for x in of_form for u in x]), np.cumsum(many) - many
+    alive = block.alive
+    place = np.concatenate([block.base[:m] + k for k, m in enumerate(alive)])
+    doc = np.searchsorted(np.cumsum(block.sizes), place, "right")
+    doc, form = np.divmod(np.unique(doc * len(forms) + block.ids), len(forms))
+    n = many[form]
+    within = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    doc, unit = np.divmod(np.unique(np.repeat(doc, n) * len(number) + flat[np.repeat(first[form], n) + within]), len(number))
+    toxic = block.labels[doc] == 1
+    return list(number), np.bincount(unit[toxic], minlength=len(number)), np.bincount(unit[~toxic], minlength=len(number))
+
+
+def significant(k: int, clean: int, p: float, need: float) -> bool:
+    """Whether a unit is in more toxic documents (``k``) than chance gives, by a Chernoff bound."""
+    n = k + clean
+    r = k / n
+    kl = r * math.log(r / p) + ((1 - r) * math.log((1 - r) / (1 - p)) if r < 1 else 0)
+    return r > max(0.5, p) and n * kl >= need
+
+
+class Gathered:
+    """Blocks in memory."""
+
+    def __init__(self, blocks: Iterable[Block]):
+        self.blocks = list(blocks)
+
+    def total(self, f: Callable[[Block], np.ndarray], columns: list[str], dtype: str = "<f8") -> np.ndarray:
+        """The sum of ``f`` over all blocks; it uses no arrays but ``columns``."""
+        return sum((f(b) for b in self.blocks), np.zeros(1))
+
+    def units(self, least: int, share: float) -> tuple[int, list[tuple[str, int, int]]]:
+        """(units of toxic documents, those in ``least`` or more and in over ``share`` of their documents with the counts of toxic and clean ones)."""
+        toxic: Counter = Counter()
+        clean: Counter = Counter()
+        for b in self.blocks:
+            names, t, c = unit_counts(b)
+            for u, x, y in zip(names, t.tolist(), c.tolist(), strict=True):
+                toxic[u] += x
+                clean[u] += y
+        return sum(k > 0 for k in toxic.values()), [(u, k, clean[u]) for u, k in toxic.items() if k >= least and k > share * (k + clean[u])]
+
+    def evidence(self, model: Model) -> Gathered:
+        """Blocks whose ``base`` is the documents' evidence."""
+        return Gathered([_with_evidence(b, model) for b in self.blocks])
+
+    def drop(self) -> None:
+        self.blocks = []
+
+
 class Model:
     """A fitted chain and its document score; plain arrays, so it pickles small."""
 
@@ -195,107 +309,127 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30))), m, sizes
 
 
-def fit(texts: list[str], labels: list[int], weight: list[float] | None = None, segments: int = 12_000, rounds: int = 60) -> Model:
-    """Fit chain and document score; ``weight`` undoes stratified sampling."""
-    y = [int(v) for v in labels]
-    prior = (sum(y) + 0.5) / (len(y) + 1) if weight is None or not y else sum(w * v for w, v in zip(weight, y, strict=True)) / max(sum(weight), 1e-9)
+def fit(texts: list[str], labels: list[int], rounds: int = 60) -> Model:
+    """Fit chain and document score on texts in memory."""
+    return fit_blocks(Gathered(blocks_of(zip(texts, labels, strict=True))), rounds)
+
+
+def fit_blocks(data: Gathered | Spread, rounds: int = 60, least: int = 5) -> Model:
+    """Fit chain and document score on all documents of ``data``."""
+    n, positive, words = (int(v) for v in np.zeros(3) + data.total(lambda b: np.array([len(b.labels), b.labels.sum(), b.sizes.sum()], float), ["labels", "sizes"]))
+    prior = (positive + 0.5) / (n + 1)
     base = math.log(max(prior, 1e-4) / max(1 - prior, 1e-4))
     nothing = Model(np.zeros(1 << BITS, np.float32), -6.0, 0.0, np.zeros((2, 2)), np.array([base, 0, 0, 0]))
-    if len(set(y)) < 2:
+    if not 0 < positive < n:
         return nothing
-    toxic = _toxic_units(texts, y)
-    rng = np.random.default_rng(7)
-    types: dict[str, int] = {}
-    with_toxic, without, met = [], [], [0, 0]
-    for t, label in zip(texts, y, strict=True):
-        words = words_of(t)
-        for at in range(0, len(words), SEGMENT):
-            cut = words[at : at + SEGMENT]
-            tags = [int(label == 1 and any(u in toxic for u in units(w))) for w in cut]
-            kind = int(any(tags))
-            kept, most = ((without, segments), (with_toxic, segments // 2))[kind]
-            met[kind] += 1
-            if len(kept) < most:  # a reservoir: every segment has the same chance
-                kept.append((cut, tags))
-            elif (k := int(rng.integers(0, met[kind]))) < most:
-                kept[k] = (cut, tags)
-    if not with_toxic:
+    p = positive / n
+    seen, found = data.units(least, max(0.5, p))
+    need = math.log(max(2, seen)) + math.log(100)
+    toxic = {u for u, k, clean in found if significant(k, clean, p, need)}
+    want = data.total(lambda b: observed(b, toxic), ["ids", "alive", "base", "sizes", "labels", "words", "features"], "<f4")
+    if not toxic or not want[NO_FEATURE + 1]:
         return nothing
-    pick = with_toxic + without[: segments - len(with_toxic)]
-    s = len(pick)
-    x, tag, mask = np.zeros((SEGMENT, s), np.int64), np.zeros((SEGMENT, s)), np.zeros((SEGMENT, s))
-    for j, (cut, tags) in enumerate(pick):
-        for k, w in enumerate(cut):
-            x[k, j] = types.setdefault(w, len(types))
-        tag[: len(tags), j], mask[: len(cut), j] = tags, 1
-    ids = [feature_ids(w) for w in types]
-    flat = np.array([f for row in ids for f in row])
-    owner = np.repeat(np.arange(len(ids)), [len(r) for r in ids])
-    w, bias, start, trans = np.zeros(1 << BITS), -3.0, 0.0, np.zeros((2, 2))
-    g_w, g_o = np.full(1 << BITS, 1e-6), np.full(6, 1e-6)
-    total = mask.sum()
+    tagged = want[NO_FEATURE + 1]
+    # the first step then isn't spent on how rare tagged words are
+    w, bias, start, trans = np.zeros(NO_FEATURE + 1), math.log(tagged / max(1.0, words - tagged)), 0.0, np.zeros((2, 2))
+    g_w, g_o = np.full(NO_FEATURE + 1, 1e-6), np.full(6, 1e-6)
     for _ in range(rounds):
-        e_type = np.clip(bias + np.bincount(owner, w[flat], len(ids)), -30, 30)
-        d_e, d_start, d_trans = _chain_gradient(e_type[x], tag, mask, start, trans)
-        by_type = np.bincount(x.reshape(-1), (d_e * mask).reshape(-1), len(ids))
-        grad = np.bincount(flat, by_type[owner], 1 << BITS) / total + 1e-7 * w
-        other = np.array([by_type.sum(), d_start, *d_trans.reshape(-1)]) / total
+        at = (w.astype(np.float32), bias, start, trans)
+        # a tagged word's share of the gradient is the same however many clean documents there are
+        grad = (data.total(lambda b, at=at: expected(b, *at), ["ids", "alive", "features"], "<f4") - want) / tagged
+        grad, other = grad[: NO_FEATURE + 1] + 1e-7 * w, grad[NO_FEATURE + 1 :]
+        grad[NO_FEATURE] = 0
         g_w += grad**2
         g_o += other**2
         w -= 0.5 * grad / np.sqrt(g_w)
         move = 0.1 * other / np.sqrt(g_o)
         bias, start, trans = bias - move[0], start - move[1], trans - move[2:].reshape(2, 2)
-    model = Model(w.astype(np.float32), bias, start, trans, np.zeros(4))
-    emit, rows = Emissions(model.weights, bias), []
-    for at in range(0, len(texts), 100):
-        _, m, sizes = model.score([words_of(t) for t in texts[at : at + 100]], emit)
-        rows.append(evidence(m, sizes))
-    model.doc = _logistic(np.concatenate(rows), np.array(y, float), np.array(weight or [1.0] * len(y)))
+    model = Model(w[:NO_FEATURE].astype(np.float32), bias, start, trans, np.zeros(4))
+    known = data.evidence(model)
+    model.doc = _logistic(known)
+    known.drop()
     return model
 
 
-def _chain_gradient(e: np.ndarray, tag: np.ndarray, mask: np.ndarray, start: float, trans: np.ndarray):
-    """Gradient of the negative log likelihood of tagged, padded segments."""
-    n, s = e.shape
-    t = np.exp(trans)
-    x = np.exp(e)
-    a = np.empty((n, 2, s))
-    f = np.stack([np.ones(s), math.exp(start) * x[0]])
-    a[0] = f / f.sum(axis=0)
-    for k in range(1, n):
-        f = np.stack([a[k - 1, 0] * t[0, 0] + a[k - 1, 1] * t[1, 0], (a[k - 1, 0] * t[0, 1] + a[k - 1, 1] * t[1, 1]) * x[k]])
-        f /= f.sum(axis=0)
-        a[k] = np.where(mask[k] > 0, f, a[k - 1])
-    b = np.ones((2, s))
-    d_e = np.zeros((n, s))
-    d_trans = np.zeros((2, 2))
-    for k in range(n - 1, -1, -1):
-        post = a[k] * b
-        post /= post.sum(axis=0)
-        d_e[k] = (post[1] - tag[k]) * mask[k]
-        if k:
-            on = mask[k] > 0
-            pair = np.stack([np.stack([a[k - 1, i] * t[i, j] * (x[k] if j else 1.0) * b[j] for j in (0, 1)]) for i in (0, 1)])
-            pair /= pair.sum(axis=(0, 1))
-            for i in (0, 1):
-                for j in (0, 1):
-                    truth = ((tag[k - 1] == i) & (tag[k] == j) & on).sum()
-                    d_trans[i, j] += (pair[i, j] * on).sum() - truth
-            nb = np.stack([t[0, 0] * b[0] + t[0, 1] * x[k] * b[1], t[1, 0] * b[0] + t[1, 1] * x[k] * b[1]])
-            nb /= nb.sum(axis=0)
-            b = np.where(on, nb, b)
-    return d_e, float((d_e[0]).sum()), d_trans
-
-
-def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, l2: float = 1e-2) -> np.ndarray:
-    x = np.c_[np.ones(len(x)), x]
-    w = np.zeros(x.shape[1])
-    for _ in range(30):
+def expected(block: Block, w: np.ndarray, bias: float, start: float, trans: np.ndarray) -> np.ndarray:
+    """What the chain expects of the block's segments: toxic words with each feature, in all, at a start, and pairs of states.
+
+    Forward and backward scores are kept as ratios of the toxic to the clean state.
+    """
+    features, ids = block.features.astype(np.intp), block.ids.astype(np.intp)
+    many = len(features) // NAMES
+    e = np.clip(bias + w[features].reshape(NAMES, many).sum(axis=0), -30, 30)
+    x = np.exp(e).astype(np.float32)[ids]
+    (t00, t01), (t10, t11) = np.exp(trans).astype(np.float32)
+    alive = block.alive[block.alive > 0].tolist()
+    cuts = np.r_[0, np.cumsum(alive, dtype=np.int64)].tolist()
+    r, s = np.empty_like(x), np.ones_like(x)
+    if alive:
+        r[: alive[0]] = np.float32(math.exp(start)) * x[: alive[0]]
+    for k in range(1, len(alive)):
+        p = r[cuts[k - 1] : cuts[k - 1] + alive[k]]
+        r[cuts[k] : cuts[k + 1]] = x[cuts[k] : cuts[k + 1]] * (t01 + t11 * p) / (t00 + t10 * p)
+    pairs = np.zeros((2, 2))
+    for k in range(len(alive) - 1, 0, -1):
+        u = x[cuts[k] : cuts[k + 1]] * s[cuts[k] : cuts[k + 1]]
+        p = r[cuts[k - 1] : cuts[k - 1] + alive[k]]
+        clean, toxic = t00 + t01 * u, t10 + t11 * u
+        s[cuts[k - 1] : cuts[k - 1] + alive[k]] = toxic / clean
+        g = 1 / (clean + p * toxic)
+        q = p * g
+        pairs += [[t00 * float(g.sum()), t01 * float(g @ u)], [t10 * float(q.sum()), t11 * float(q @ u)]]
+    r *= s
+    r /= 1 + r
+    return _moments(features, np.bincount(ids, r, many), float(r[: alive[0]].sum(dtype=np.float64)) if alive else 0.0, pairs)
+
+
+def observed(block: Block, toxic: set[str]) -> np.ndarray:
+    """What ``expected`` gives, of the block's tags: words with a toxic unit in toxic documents."""
+    flag = np.array([any(u in toxic for u in units(w)) for w in block.forms()], bool)
+    of_doc = np.searchsorted(np.cumsum(block.sizes), block.base, "right")
+    bad = block.labels[of_doc] == 1
+    cuts = np.r_[0, np.cumsum(block.alive)]
+    tags = [flag[block.ids[a:z]] & bad[: z - a] for a, z in zip(cuts[:-1], cuts[1:], strict=True)]
+    pairs = np.zeros((2, 2))
+    for before, now in zip(tags[:-1], tags[1:], strict=True):
+        pairs += np.bincount(before[: len(now)] * 2 + now, minlength=4).reshape(2, 2)
+    return _moments(block.features, np.bincount(block.ids, np.concatenate(tags), len(flag)), float(tags[0].sum()), pairs)
+
+
+def _moments(features: np.ndarray, by_form: np.ndarray, starts: float, pairs: np.ndarray) -> np.ndarray:
+    out = np.bincount(features, np.tile(by_form, NAMES), NO_FEATURE + 7)
+    out[NO_FEATURE + 1 :] = by_form.sum(), starts, *pairs.reshape(-1)
+    return out
+
+
+def _with_evidence(block: Block, model: Model) -> Block:
+    """The block's labels, with the evidence of its whole documents as ``base``."""
+    w = np.append(model.weights, np.float32(0))
+    e = np.clip(model.bias + w[block.features].reshape(NAMES, -1).sum(axis=0, dtype=np.float64), -30, 30)
+    flat = np.empty(len(block.ids))
+    place = np.concatenate([block.base[:m] + k for k, m in enumerate(block.alive)])
+    flat[place] = e[block.ids]
+    first = np.zeros(len(flat), bool)
+    first[(np.cumsum(block.sizes) - block.sizes)[block.sizes > 0]] = True
+    none = np.zeros(0, np.int64)
+    return Block(none, none, evidence(marginals(flat, first, model.start, model.trans), block.sizes).reshape(-1).view(np.int64), none, block.labels, none, none)
+
+
+def _logistic(data: Gathered | Spread, l2: float = 1e-2) -> np.ndarray:
+    """Weights of a constant and the evidence, by Newton steps."""
+    w = np.zeros(4)
+
+    def sums(b: Block, w: np.ndarray) -> np.ndarray:
+        x = np.c_[np.ones(len(b.labels)), np.ascontiguousarray(b.base).view(np.float64).reshape(-1, 3)]
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad = x.T @ (weight * (p - y)) + l2 * w
-        hess = (x * (weight * p * (1 - p))[:, None]).T @ x + (l2 + 1e-6) * np.eye(len(w))
+        return np.r_[x.T @ (p - b.labels), ((x * (p * (1 - p))[:, None]).T @ x).reshape(-1)]
+
+    for _ in range(30):
+        got = data.total(lambda b, w=w: sums(b, w), ["labels", "base"])
+        grad = got[:4] + l2 * w
+        hess = got[4:].reshape(4, 4) + (l2 + 1e-6) * np.eye(4)
         step = np.linalg.solve(hess, grad)
-        w -= step / max(1.0, float(np.abs(step).max()) / 4)
+        w = w - step / max(1.0, float(np.abs(step).max()) / 4)
         if np.abs(step).max() < 1e-6:
             break
     return w
@@ -307,27 +441,92 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % 5 == 0, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = 1000, max_chars: int = 200_000, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Fit on a bounded, hashed sample of the labelled rows that aren't held out."""
-    spark = docs.sparkSession
+BLOCKS = ", ".join(f"{n} binary" for n in Block._fields)
+
+
+class Spread:
+    """Blocks in a scratch table, a row each."""
+
+    def __init__(self, table: DataFrame):
+        self.table = table
+        self.tasks = 2 * table.sparkSession.sparkContext.defaultParallelism
+
+    def total(self, f: Callable[[Block], np.ndarray], columns: list[str], dtype: str = "<f8") -> np.ndarray:
+        """The sum of ``f`` over all blocks; it uses no arrays but ``columns``.  A task sends one row."""
+
+        def run(batches):
+            out = None
+            for b in batches:
+                got = dict(zip(columns, b.columns, strict=True))
+                for k in range(b.num_rows):
+                    v = f(_unpack(got, k))
+                    if out is None:
+                        out = v
+                    else:
+                        out += v
+            if out is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([out.astype(dtype).tobytes()], pa.binary())], names=["v"])
+
+        rows = bounded(self.table.select(*columns)).coalesce(self.tasks).mapInArrow(run, "v binary").collect()
+        return sum((np.frombuffer(r["v"], dtype).astype(np.float64) for r in rows), np.zeros(1))
+
+    def units(self, least: int, share: float) -> tuple[int, list[tuple[str, int, int]]]:
+        """As of ``Gathered``."""
+        columns = ["ids", "alive", "base", "sizes", "labels", "words"]
+
+        def run(batches):
+            for b in batches:
+                got = dict(zip(columns, b.columns, strict=True))
+                for k in range(b.num_rows):
+                    names, toxic, clean = unit_counts(_unpack(got, k))
+                    yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(toxic, pa.int64()), pa.array(clean, pa.int64())], names=["unit", "toxic", "clean"])
+
+        each = bounded(self.table.select(*columns)).mapInArrow(run, "unit string, toxic bigint, clean bigint")
+        sums = materialize(each.groupBy("unit").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).where("toxic > 0"))
+        chosen = sums.where((F.col("toxic") >= least) & (F.col("toxic") > F.lit(share) * (F.col("toxic") + F.col("clean"))))
+        out = sums.count(), [tuple(r) for r in chosen.collect()]
+        discard(sums)
+        return out
+
+    def evidence(self, model: Model) -> Spread:
+        """As of ``Gathered``; a new table."""
+        columns = ["ids", "alive", "base", "sizes", "labels", "features"]
+
+        def run(batches):
+            for b in batches:
+                got = dict(zip(columns, b.columns, strict=True))
+                for k in range(b.num_rows):
+                    x = _with_evidence(_unpack(got, k), model)
+                    yield pa.RecordBatch.from_arrays([pa.array([x.labels.tobytes()], pa.binary()), pa.array([x.base.tobytes()], pa.binary())], names=["labels", "base"])
+
+        return Spread(materialize(bounded(self.table.select(*columns)).mapInArrow(run, "labels binary, base binary")))
+
+    def drop(self) -> None:
+        discard(self.table)
+
+
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
+    """Fit on the whole texts of all labelled rows that aren't held out."""
     known = labels.where(F.col("toxic").isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
     known = known.groupBy(F.col(id_col).cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
-    # drawn from the rows that fit, so a class of long texts keeps its share
-    fits = docs.where(F.length(whole(text_col)) <= max_chars).select(F.col(id_col).cast("long").alias("doc_id"))
-    known = materialize(known.join(fits, "doc_id", "left_semi"))
-    count = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
-    order = F.xxhash64("doc_id")
-    rows = [r for y, most in ((1, per_class), (0, 2 * per_class)) for r in known.where(F.col("toxic") == y).orderBy(order, "doc_id").limit(most).collect()]
-    if not rows:
-        return fit([], [])
-    # at most 3 * per_class rows: a bound, not a guess
-    sample = F.broadcast(spark.createDataFrame([(r["doc_id"], r["toxic"]) for r in rows], "sample_id bigint, toxic int"))
-    text = whole(text_col)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).where(F.length("text") <= max_chars)
-    got = texts.join(sample, F.col("doc_id") == F.col("sample_id")).select("sample_id", "toxic", "text").groupBy("sample_id").agg(F.max("toxic").alias("toxic"), F.min("text").alias("text")).collect()
-    got = sorted(got, key=lambda r: r["sample_id"])
-    n = Counter(r["toxic"] for r in got)
-    return fit([r["text"] for r in got], [r["toxic"] for r in got], [count[r["toxic"]] / n[r["toxic"]] for r in got])
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole(text_col).alias("text")).where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    most = BLOCK_WORDS
+
+    def run(batches):
+        rows = (row for b in batches for row in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+        for block in blocks_of(rows, most):
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in _pack(block)], names=Block._fields)
+
+    table = materialize(bounded(texts.join(known.hint("merge"), "doc_id").select("text", "toxic")).mapInArrow(run, BLOCKS))
+    if table.count() > GATHERED_BLOCKS:
+        data = Spread(table)
+    else:
+        rows = [{n: pa.array([r[n]], pa.binary()) for n in Block._fields} for r in table.collect()]
+        data = Gathered(_unpack(r, 0) for r in rows)
+    model = fit_blocks(data)
+    data.drop()
+    discard(table)
+    return model
 
 
 def clean(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -122,6 +122,85 @@ def test_toxic_words_are_learned():
     assert p[1] > 0.5 > p[0] and p[2] < 0.5 and marg[4] > 0.5
 
 
+def test_the_pipelines_model_learns_from_every_labelled_row(spark, tmp_path):
+    import corpus_pipeline
+
+    ids = [i for i in range(5000) if zlib.crc32(str(i).encode()) % 5][:3300]
+    toxic, clean = ids[:1080], ids[1080:]
+    last = [r.i for r in spark.createDataFrame([(i,) for i in toxic], "i long").orderBy(F.xxhash64("i").desc()).limit(30).collect()]
+    texts = {i: f"you grubel {i % 7} there" for i in toxic} | {i: f"the sun shines {i % 7} there" for i in clean}
+    texts |= {i: f"you zorgle {i % 7} there" for i in last}  # a sample of 1,000 toxic rows by hash has none of them
+    texts |= {toxic[k]: "the sun shines there " * 10_000 + "you blartok there" for k in range(12) if toxic[k] not in last}
+    spark.createDataFrame([(i, 1, int(i in set(toxic))) for i in ids], "doc_id long, quality int, toxic int").coalesce(1).write.parquet(str(tmp_path / "labels.parquet"))
+    asked = {9001: "a zorgle again", 9002: "a blartok again", 9003: "a grubel again", 9004: "the sun again"}
+    kept = corpus_pipeline.drop_toxic(spark, docs(spark, [(k, t, "s") for k, t in (texts | asked).items()]), str(tmp_path))
+    assert {r.doc_id for r in kept.where("doc_id > 9000").select("doc_id").collect()} == {9004}
+
+
+def random_blocks(rng, most):
+    words = np.array([f"term{x}" for x in range(300)])
+    rows = [(" ".join(rng.choice(words, n)) + (" grubel gru\u00df" if k % 3 == 0 else ""), int(k % 3 == 0)) for k, n in enumerate(rng.integers(0, 150, 120))] + [("", 0), ("", 1)]
+    return rows, list(toxicity.blocks_of(rows, most))
+
+
+@pytest.mark.parametrize("most", [1, 700, 250_000])
+def test_expected_and_observed_by_plain_python(most):
+    rng = np.random.default_rng(12)
+    rows, blocks = random_blocks(rng, most)
+    assert sum(len(b.sizes) for b in blocks) == len(rows)
+    w = np.append(rng.normal(size=1 << toxicity.BITS), 0)
+    bias, start, trans, bad = -0.5, 0.3, rng.normal(size=(2, 2)), {"grubel", "grub~"}
+    want, seen = np.zeros((2, len(w) + 6))
+    for text, label in rows:
+        words = toxicity.words_of(text)
+        for cut in (words[k : k + 32] for k in range(0, len(words), 32)):
+            e = np.array([bias + w[toxicity.feature_ids(x)].sum() for x in cut])
+            first = np.arange(len(cut)) == 0
+            on = toxicity.marginals(np.clip(e, -30, 30), first, start, trans)
+            tags = [int(label and x == "grubel") for x in cut]
+            for out, values in ((want, on), (seen, tags)):
+                for x, v in zip(cut, values):
+                    np.add.at(out, toxicity.feature_ids(x), v)
+                out[-6] += sum(values)
+                out[-5] += values[0]
+            np.add.at(seen, [-4 + 2 * a + b for a, b in zip(tags, tags[1:])], 1)
+            # pairs: what the joint of two neighbours adds up to in each margin
+            want[-4:] += [0, on[1:].sum(), on[:-1].sum(), len(cut) - 1]
+    got = sum(toxicity.expected(b, w.astype(np.float32), bias, start, trans) for b in blocks)
+    keep = np.arange(len(w)) != toxicity.NO_FEATURE
+    assert np.abs(got[:-6] - want[:-6])[keep].max() < 1e-3 and np.allclose(got[-6:-4], want[-6:-4], atol=1e-2)
+    n00, n01, n10, n11 = got[-4:]
+    assert np.allclose([n01 + n11, n10 + n11, n00 + n01 + n10 + n11], want[-3:], atol=1e-2)
+    got = sum(toxicity.observed(b, bad) for b in blocks)
+    assert np.array_equal(got[:-6][keep], seen[:-6][keep]) and np.array_equal(got[-6:], seen[-6:])
+
+
+def test_pairs_are_exact():
+    rng = np.random.default_rng(13)
+    (block,) = toxicity.blocks_of([("one two three four five six", 1)])
+    w = np.append(rng.normal(size=1 << toxicity.BITS), 0).astype(np.float32)
+    e = [-0.2 + w[toxicity.feature_ids(x)].sum() for x in block.forms()]
+    trans, start, total, pairs = rng.normal(size=(2, 2)), 0.4, 0.0, np.zeros((2, 2))
+    for s in itertools.product((0, 1), repeat=6):
+        p = np.exp(start * s[0] + np.dot(e, s) + sum(trans[a, b] for a, b in zip(s, s[1:])))
+        total += p
+        for a, b in zip(s, s[1:]):
+            pairs[a, b] += p
+    assert np.allclose(toxicity.expected(block, w, -0.2, start, trans)[-4:], pairs.reshape(-1) / total, atol=1e-4)
+
+
+def test_blocks_on_the_cluster_add_up_as_on_the_driver(spark):
+    rows, blocks = random_blocks(np.random.default_rng(14), 400)
+    table = spark.createDataFrame([tuple(toxicity._pack(b)) for b in blocks], toxicity.BLOCKS)
+    spread, gathered = toxicity.Spread(table), toxicity.Gathered(toxicity.blocks_of(rows))
+    for least, share in ((5, 0.5), (1, 0.0)):
+        (n, some), (m, others) = spread.units(least, share), gathered.units(least, share)
+        assert n == m and sorted(some) == sorted(others)
+    a, b = toxicity.fit_blocks(spread, 4), toxicity.fit_blocks(gathered, 4)
+    assert b.weights.any() and np.allclose(a.weights, b.weights, atol=1e-3) and np.allclose(a.trans, b.trans, atol=1e-3)
+    assert np.allclose(a.doc, b.doc, rtol=1e-2, atol=1e-2)
+
+
 def brute_components(texts, percent=85):
     sets = {}
     for i, t in texts.items():
