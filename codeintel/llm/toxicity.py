@@ -29,17 +29,19 @@ import re
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterable, Iterator
-from itertools import count
+from itertools import count, islice, repeat
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import _arrow_schema, bounded, discard, fresh, materialize, whole
 
 WORD = re.compile(r"\w+")
+LATIN = bytes(ord(chr(c).lower()) if WORD.match(chr(c)) else 32 for c in range(256))  # of Latin-1: lower case, and spaces between words
 BITS = 18
 SEGMENT = 32
 NAMES = 6  # features of a word, at most
@@ -49,7 +51,10 @@ GATHERED_BLOCKS = 8
 
 
 def words_of(text: str) -> list[str]:
-    return list(map(str.lower, WORD.findall(text)))
+    try:
+        return text.encode("latin-1").translate(LATIN).decode("latin-1").split()
+    except UnicodeEncodeError:
+        return list(map(str.lower, WORD.findall(text)))
 
 
 def units(word: str) -> list[str]:
@@ -63,29 +68,91 @@ def feature_ids(word: str) -> list[int]:
     return [zlib.crc32(n.encode("utf-8", "surrogatepass")) & mask for n in names]
 
 
+def _crc_table() -> np.ndarray:
+    t = np.arange(256)
+    for _ in range(8):
+        t = np.where(t & 1, t >> 1 ^ 0xEDB88320, t >> 1)
+    return t
+
+
+CRC = _crc_table()
+
+
+def _crc_step(state: np.ndarray, byte: np.ndarray) -> np.ndarray:
+    return CRC[(state ^ byte) & 255] ^ state >> 8
+
+
+def _crc_char(state: np.ndarray, char: np.ndarray) -> np.ndarray:
+    """States of crc32 after a character's UTF-8, of two bytes at most."""
+    wide = np.flatnonzero(char >= 0x80)
+    if not len(wide):
+        return _crc_step(state, char)
+    out = _crc_step(state, np.where(char < 0x80, char, 0xC0 | char >> 6))
+    out[wide] = _crc_step(out[wide], 0x80 | char[wide] & 63)
+    return out
+
+
+def features_of(words: list[str]) -> np.ndarray:
+    """``feature_ids`` of many words, NAMES rows; NO_FEATURE where a word has no such prefix."""
+    out = np.full((NAMES, len(words)), NO_FEATURE, np.int32)
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    chars = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+    at = np.cumsum(sizes) - sizes
+    rare = sizes > 40
+    rare[np.searchsorted(at + sizes, np.flatnonzero(chars >= 0x800), "right")] = True
+    for i in np.flatnonzero(rare).tolist():
+        f = feature_ids(words[i])
+        out[: len(f), i] = f
+    order = np.argsort(-sizes, kind="stable")
+    order = order[~rare[order]]
+    size, at = sizes[order], at[order]
+    longer = len(size) - np.searchsorted(size[::-1], np.arange(42), "right")  # words of over so many characters come first
+
+    def begin(name: bytes) -> np.ndarray:
+        return np.full(len(size), zlib.crc32(name) ^ 0xFFFFFFFF)
+
+    def ids(state: np.ndarray) -> np.ndarray:
+        return (state ^ 0xFFFFFFFF) & ((1 << BITS) - 1)
+
+    word, prefix, suffix = begin(b"w="), begin(b"p="), begin(b"s=")
+    tail = np.maximum(size - 3, 0)
+    for k in range(40):
+        n = longer[k]
+        if not n:
+            break
+        c = chars[at[:n] + k]
+        word[:n] = _crc_char(word[:n], c)
+        if k < 6:
+            prefix[:n] = _crc_char(prefix[:n], c)
+            if k >= 2:
+                out[k - 1, order[:n]] = ids(prefix[:n])
+        if k < 3:
+            suffix[:n] = _crc_char(suffix[:n], chars[at[:n] + tail[:n] + k])
+    out[0, order], out[NAMES - 1, order] = ids(word), ids(suffix)
+    return out
+
+
 class Emissions:
     """Toxic-state scores of words, remembered in two bounded generations."""
 
     def __init__(self, weights: np.ndarray, bias: float, limit: int = 300_000):
-        self.w, self.bias, self.limit = weights, bias, limit
+        self.w, self.bias, self.limit = np.append(weights, weights.dtype.type(0)), bias, limit
         self.new: dict[str, float] = {}
         self.old: dict[str, float] = {}
 
     def of(self, words: list[str]) -> np.ndarray:
-        got = list(map(self.new.get, words))
-        if None in got:
-            for i in [i for i, g in enumerate(got) if g is None]:
-                w = words[i]
-                v = self.new.get(w)
-                if v is None:
-                    v = self.old.get(w)
-                    if v is None:
-                        v = self.bias + float(self.w[feature_ids(w)].sum())
-                    if len(self.new) >= self.limit:
-                        self.old, self.new = self.new, {}
-                    self.new[w] = v
-                got[i] = v
-        return np.clip(np.array(got, np.float64), -30, 30)
+        out = np.fromiter(map(self.new.get, words, repeat(np.nan)), np.float64, len(words))
+        at = np.flatnonzero(np.isnan(out))
+        if len(at):
+            asked = [words[i] for i in at.tolist()]
+            got = {w: self.old.get(w) for w in asked}
+            unknown = [w for w, v in got.items() if v is None]
+            got.update(zip(unknown, (self.bias + self.w[features_of(unknown)].sum(axis=0).astype(np.float64)).tolist(), strict=True))
+            out[at] = list(map(got.__getitem__, asked))
+            if len(self.new) + len(got) > self.limit:
+                self.old, self.new = self.new, {}
+            self.new.update(islice(got.items(), self.limit))
+        return np.clip(out, -30, 30)
 
 
 def marginals(e: np.ndarray, first: np.ndarray, start: float, trans: np.ndarray) -> np.ndarray:
@@ -94,54 +161,55 @@ def marginals(e: np.ndarray, first: np.ndarray, start: float, trans: np.ndarray)
     ``first`` marks where a document starts: there, both rows of the step matrix
     are the start scores, which forgets what came before in either direction.
     The words are cut into blocks whose step products are taken side by side; a
-    short loop joins the blocks.  Exact, whatever the block length.
+    short loop joins the blocks.  Then forward and backward scores go through all
+    blocks, as ratios of the toxic to the clean state.  Exact, whatever the block length.
     """
     n = len(e)
     if not n:
         return np.zeros(0)
     step = 64
     blocks = -(-n // step)
-    m = np.zeros((blocks * step, 4))
-    m[:, 0] = m[:, 3] = 1.0  # padding: identity
-    x, t = np.exp(e), np.exp(trans)
-    m[:n, 0], m[:n, 1], m[:n, 2], m[:n, 3] = t[0, 0], t[0, 1] * x, t[1, 0], t[1, 1] * x
-    m[:n][first, 0] = m[:n][first, 2] = 1.0
-    m[:n][first, 1] = m[:n][first, 3] = math.exp(start) * x[first]
-    m /= np.maximum(m.max(axis=1, keepdims=True), 1e-300)
-    m = np.ascontiguousarray(m.reshape(blocks, step, 4).transpose(1, 2, 0))
-    p = m[0].copy()
-    for k in range(1, step):
-        q = m[k]
-        p = np.stack([p[0] * q[0] + p[1] * q[2], p[0] * q[1] + p[1] * q[3], p[2] * q[0] + p[3] * q[2], p[2] * q[1] + p[3] * q[3]])
-        p /= p.max(axis=0)
-    prods = p.T.tolist()
-    fwd, bwd = [(1.0, 0.0)] * blocks, [(1.0, 1.0)] * blocks
-    a, b = 1.0, 0.0
-    for i, q in enumerate(prods):
-        fwd[i] = (a, b)
-        a, b = a * q[0] + b * q[2], a * q[1] + b * q[3]
-        a, b = a / (a + b), b / (a + b)
-    a, b = 1.0, 1.0
-    for i in range(blocks - 1, -1, -1):
-        bwd[i] = (a, b)
-        q = prods[i]
-        a, b = q[0] * a + q[1] * b, q[2] * a + q[3] * b
-        a, b = a / (a + b), b / (a + b)
-    alpha = np.empty((step, 2, blocks))
-    f = np.array(fwd).T
+    x, begins = np.ones(blocks * step), np.zeros(blocks * step, bool)
+    np.exp(e, out=x[:n])
+    begins[:n] = first
+    begins[n : n + 1] = True  # padding: a document of its own
+    x = np.ascontiguousarray(x.reshape(blocks, step).T)
+    place, of = np.nonzero(begins.reshape(blocks, step).T)
+    cuts = np.searchsorted(place, np.arange(step + 1))
+    new = [of[a:z] for a, z in zip(cuts[:-1], cuts[1:], strict=True)]
+    (t00, t01), (t10, t11) = np.exp(trans).tolist()
+    s = math.exp(start)
+    p = np.zeros((2, 2, blocks))  # by the state before the block and the one reached
+    p[0, 0] = p[1, 1] = 1.0
     for k in range(step):
-        q = m[k]
-        f = np.stack([f[0] * q[0] + f[1] * q[2], f[0] * q[1] + f[1] * q[3]])
-        f /= f.sum(axis=0)
-        alpha[k] = f
+        zero, one = p[:, 0] * t00 + p[:, 1] * t10, (p[:, 0] * t01 + p[:, 1] * t11) * x[k]
+        if len(new[k]):
+            zero[:, new[k]] = both = p[:, 0, new[k]] + p[:, 1, new[k]]
+            one[:, new[k]] = both * (s * x[k, new[k]])
+        p[:, 0], p[:, 1] = zero, one
+        if k % 4 == 3:
+            p /= p.max(axis=(0, 1))
+    p00, p01, p10, p11 = p.reshape(4, blocks).tolist()
+    fwd, bwd = [0.0] * blocks, [1.0] * blocks
+    for i in range(blocks - 1):
+        r = fwd[i]
+        fwd[i + 1] = (p01[i] + r * p11[i]) / (p00[i] + r * p10[i])
+    for i in range(blocks - 1, 0, -1):
+        r = bwd[i]
+        bwd[i - 1] = (p10[i] + p11[i] * r) / (p00[i] + p01[i] * r)
     out = np.empty((step, blocks))
-    g = np.array(bwd).T
+    r = np.array(fwd)
+    for k in range(step):
+        r = x[k] * (t01 + t11 * r) / (t00 + t10 * r)
+        r[new[k]] = s * x[k, new[k]]
+        out[k] = r
+    r = np.array(bwd)
     for k in range(step - 1, -1, -1):
-        one, zero = alpha[k, 1] * g[1], alpha[k, 0] * g[0]
-        out[k] = one / (one + zero)
-        q = m[k]
-        g = np.stack([q[0] * g[0] + q[1] * g[1], q[2] * g[0] + q[3] * g[1]])
-        g /= g.sum(axis=0)
+        out[k] *= r
+        r = x[k] * r
+        r = (t10 + t11 * r) / (t00 + t01 * r)
+        r[new[k]] = 1.0
+    out /= 1 + out
     return out.T.reshape(-1)[:n]
 
 
@@ -169,35 +237,80 @@ class Block(NamedTuple):
     sizes: np.ndarray  # words of each document
     labels: np.ndarray  # of each document
     words: np.ndarray  # the forms by id, in UTF-8, ended by line feeds
-    features: np.ndarray  # NAMES feature ids of each form, filled up with NO_FEATURE: the first of all forms, then the second ones
+    features: np.ndarray  # of all forms the word's, then the suffix's, then those of the prefixes of 6, 5, 4 and 3 letters as a tree
+    levels: np.ndarray  # nodes of each of these four levels; NO_FEATURE where words are shorter
+    nodes: np.ndarray  # each form's node of the first level, then how many nodes are below those of the next ones
 
     def forms(self) -> list[str]:
         return self.words.tobytes().decode("utf-8", "surrogatepass").split("\n")[:-1]
 
+    def number(self) -> int:
+        """How many forms there are, by the features."""
+        return (len(self.features) - int(self.levels.sum())) // 2
+
+    def of_forms(self, w: np.ndarray) -> np.ndarray:
+        """The sum of each form's feature weights."""
+        v, n, up = w[self.features], self.number(), 0
+        cuts = (2 * n + np.r_[0, np.cumsum(self.levels)]).tolist()
+        below = self.nodes[n:]
+        for k in (3, 2, 1):
+            up = np.repeat(v[cuts[k] : cuts[k + 1]] + up, below[cuts[k] - cuts[1] : cuts[k + 1] - cuts[1]])
+        return v[:n] + v[n : 2 * n] + (v[cuts[0] : cuts[1]] + up)[self.nodes[:n]]
 
-TYPES = dict(zip(Block._fields, ("<u4", "<i8", "<i8", "<i8", "<i8", "<u1", "<i4"), strict=True))
+    def of_features(self, by_form: np.ndarray, room: int) -> np.ndarray:
+        """The sum of each feature's forms."""
+        n = self.number()
+        up = np.bincount(self.nodes[:n], by_form, int(self.levels[0]))
+        values = [by_form, by_form, up]
+        for below in np.split(self.nodes[n:].astype(np.int64), np.cumsum(self.levels[1:3])):
+            if len(below):
+                up = np.add.reduceat(up, np.cumsum(below) - below)
+            values.append(up)
+        return np.bincount(self.features, np.concatenate(values), room)
+
+
+TYPES = dict(zip(Block._fields, ("<u4", "<i8", "<i8", "<i8", "<i8", "<u1", "<i4", "<i8", "<u4"), strict=True))
+WEIGHED = ["features", "levels", "nodes"]
 
 
 def _pack(block: Block) -> list[bytes]:
     out = [np.asarray(x, TYPES[n]).tobytes() for n, x in zip(Block._fields, block, strict=True)]
-    if len(block.features) // NAMES < 1 << 16:
-        out[0] = block.ids.astype("<u2").tobytes()
+    if block.number() < 1 << 16:
+        out[0], out[-1] = block.ids.astype("<u2").tobytes(), block.nodes.astype("<u2").tobytes()
     return out
 
 
 def _unpack(columns: dict[str, pa.Array], row: int) -> Block:
-    """A block with those of its arrays that are there; ids come with ``alive``, which tells their width."""
+    """A block with those of its arrays that are there; ids come with ``alive`` and nodes with ``levels``, which tell their width."""
     got = {n: columns[n][row].as_buffer() for n in columns}
     types = dict(TYPES)
     if "ids" in got and got["ids"].size == 2 * int(np.frombuffer(got["alive"], TYPES["alive"]).sum()):
         types["ids"] = "<u2"
+    if "nodes" in got:
+        levels = np.frombuffer(got["levels"], TYPES["levels"])
+        if got["nodes"].size == got["features"].size // 4 - int(levels.sum()) + 2 * int(levels[1:].sum()):
+            types["nodes"] = "<u2"
     none = np.zeros(0, np.int64)
     return Block(*(np.frombuffer(got[n], t) if n in got else none for n, t in types.items()))
 
 
+def _tree(f: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """features, levels and nodes of a block, of what ``features_of`` gives."""
+    top, low = f[1].astype(np.int64) << 38 | f[2].astype(np.int64) << 19 | f[3], f[4]
+    order = np.lexsort((low, top))
+    top, low = top[order], low[order]
+    change = top[1:] != top[:-1]
+    changes = [change | (low[1:] != low[:-1]), change, top[1:] >> 19 != top[:-1] >> 19, top[1:] >> 38 != top[:-1] >> 38]
+    first = [np.flatnonzero(np.r_[True, c][: len(top)]) for c in changes]
+    ids = [low[first[0]], *(top[at] >> bits & ((1 << 19) - 1) for at, bits in zip(first[1:], (0, 19, 38), strict=True))]
+    node = np.empty(len(top), np.int64)
+    node[order] = np.cumsum(np.r_[0, changes[0]])[: len(top)]
+    below = [np.diff(np.r_[np.searchsorted(a, b), len(a)]) if len(b) else b for a, b in zip(first[:-1], first[1:], strict=True)]
+    return np.concatenate([f[0], f[5], *ids]).astype(np.int32), np.array([len(x) for x in first]), np.concatenate([node, *below])
+
+
 def blocks_of(docs: Iterable[tuple[str, int]], most: int = BLOCK_WORDS) -> Iterator[Block]:
     """The blocks of (text, label) rows: ``most`` words, or a document."""
-    known: dict[str, bytes] = {}
 
     def block() -> Block:
         sizes = np.array([len(d) for d in held], np.int64)
@@ -209,16 +322,8 @@ def blocks_of(docs: Iterable[tuple[str, int]], most: int = BLOCK_WORDS) -> Itera
         base = (np.repeat(first, n) + within)[order]
         alive = len(length) - np.searchsorted(np.sort(length), np.arange(SEGMENT), "right")
         ids = np.concatenate([flat[base[:m] + k] for k, m in enumerate(alive)])
-        rows = []
-        for w in types:
-            if (row := known.get(w)) is None:
-                if len(known) >= 300_000:
-                    known.clear()
-                f = feature_ids(w)
-                row = known[w] = np.array(f + [NO_FEATURE] * (NAMES - len(f)), "<i4").tobytes()
-            rows.append(row)
         words = "".join([w + "\n" for w in types]).encode("utf-8", "surrogatepass")
-        return Block(ids, alive, base, sizes, np.array(labels, np.int64), np.frombuffer(words, np.uint8), np.ascontiguousarray(np.frombuffer(b"".join(rows), "<i4").reshape(-1, NAMES).T).reshape(-1))
+        return Block(ids, alive, base, sizes, np.array(labels, np.int64), np.frombuffer(words, np.uint8), *_tree(features_of(list(types))))
 
     types: defaultdict[str, int] = defaultdict(count().__next__)
     held, labels, n = [], [], 0
@@ -235,24 +340,65 @@ def blocks_of(docs: Iterable[tuple[str, int]], most: int = BLOCK_WORDS) -> Itera
         yield block()
 
 
-def unit_counts(block: Block) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """(units, toxic documents, clean documents that have each)."""
-    forms = block.forms()
-    number: defaultdict[str, int] = defaultdict(count().__next__)
-    of_form = [[number[u] for u in units(w)] for w in forms]
-    if not forms:
-        return [], np.zeros(0, np.int64), np.zeros(0, np.int64)
-    many = np.array([len(x) for x in of_form])
-    flat, first = np.array([u for x in of_form for u in x]), np.cumsum(many) - many
-    alive = block.alive
-    place = np.concatenate([block.base[:m] + k for k, m in enumerate(alive)])
-    doc = np.searchsorted(np.cumsum(block.sizes), place, "right")
-    doc, form = np.divmod(np.unique(doc * len(forms) + block.ids), len(forms))
-    n = many[form]
-    within = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-    doc, unit = np.divmod(np.unique(np.repeat(doc, n) * len(number) + flat[np.repeat(first[form], n) + within]), len(number))
-    toxic = block.labels[doc] == 1
-    return list(number), np.bincount(unit[toxic], minlength=len(number)), np.bincount(unit[~toxic], minlength=len(number))
+def _stable(keys: np.ndarray, most: int) -> np.ndarray:
+    """Stable order of numbers under ``most``, 16 bits at a time, which numpy sorts in linear time."""
+    order = np.argsort((keys & 0xFFFF).astype(np.uint16), kind="stable")
+    if most > 1 << 16:
+        order = order[np.argsort((keys[order] >> 16).astype(np.uint16), kind="stable")]
+    return order
+
+
+def _firsts(doc: np.ndarray, unit: np.ndarray, most: int) -> np.ndarray:
+    """Which rows are the first of their (document, unit); documents ascend."""
+    order = _stable(unit, most)
+    d, u = doc[order], unit[order]
+    out = np.zeros(len(doc), bool)
+    out[order[np.r_[True, (d[1:] != d[:-1]) | (u[1:] != u[:-1])][: len(d)]]] = True
+    return out
+
+
+def form_units(block: Block) -> Iterator[tuple[pa.Array, np.ndarray]]:
+    """What ``units`` gives of all forms: (units in UTF-8, which of them each form has, -1 for none), by kind."""
+    raw = block.words
+    char = np.flatnonzero((raw & 0xC0) != 0x80)
+    ends = np.flatnonzero(raw[char] == 10)  # of the forms, among all characters
+    first = np.r_[0, ends + 1][: len(ends)]
+    chars, many = ends - first, len(ends)
+
+    def cut(of: np.ndarray, size: np.ndarray | int, mark: bytes) -> pa.Array:
+        begin, end = char[first[of]], char[first[of] + size]
+        at = np.r_[0, np.cumsum(end - begin + len(mark))]
+        data = raw[np.arange(at[-1]) + np.repeat(begin - at[:-1], np.diff(at))]
+        if mark:
+            data[at[1:] - 1] = mark[0]
+        return pa.Array.from_buffers(pa.binary(), len(of), [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(data)])
+
+    yield cut(np.arange(many), chars, b""), np.arange(many)
+    for k in (4, 5, 6):
+        of = np.flatnonzero(chars > k)
+        got = cut(of, k, b"~").dictionary_encode()
+        unit = np.full(many, -1)
+        unit[of] = got.indices.to_numpy()
+        yield got.dictionary, unit
+
+
+def unit_counts(block: Block) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(units in UTF-8, toxic documents, clean documents that have each)."""
+    form = np.empty(len(block.ids), np.int64)
+    form[np.concatenate([block.base[:m] + k for k, m in enumerate(block.alive)])] = block.ids
+    doc = np.repeat(np.arange(len(block.sizes)), block.sizes)
+    toxic = block.labels == 1
+    names, counts = [], []
+    for units, of in form_units(block):
+        u = of[form]
+        d, u = doc[u >= 0], u[u >= 0]
+        keep = _firsts(d, u, len(units))
+        if not names:
+            doc, form = doc[keep], form[keep]
+        names.append(units)
+        counts.append(np.bincount(u[keep] * 2 + toxic[d[keep]], minlength=2 * len(units)))
+    clean, bad = np.concatenate(counts).reshape(-1, 2).T
+    return pa.concat_arrays(names), bad, clean
 
 
 def significant(k: int, clean: int, p: float, need: float) -> bool:
@@ -279,7 +425,7 @@ class Gathered:
         clean: Counter = Counter()
         for b in self.blocks:
             names, t, c = unit_counts(b)
-            for u, x, y in zip(names, t.tolist(), c.tolist(), strict=True):
+            for u, x, y in zip((v.decode("utf-8", "surrogatepass") for v in names.to_pylist()), t.tolist(), c.tolist(), strict=True):
                 toxic[u] += x
                 clean[u] += y
         return sum(k > 0 for k in toxic.values()), [(u, k, clean[u]) for u, k in toxic.items() if k >= least and k > share * (k + clean[u])]
@@ -326,7 +472,7 @@ def fit_blocks(data: Gathered | Spread, rounds: int = 60, least: int = 5) -> Mod
     seen, found = data.units(least, max(0.5, p))
     need = math.log(max(2, seen)) + math.log(100)
     toxic = {u for u, k, clean in found if significant(k, clean, p, need)}
-    want = data.total(lambda b: observed(b, toxic), ["ids", "alive", "base", "sizes", "labels", "words", "features"], "<f4")
+    want = data.total(lambda b: observed(b, toxic), ["ids", "alive", "base", "sizes", "labels", "words", *WEIGHED], "<f4")
     if not toxic or not want[NO_FEATURE + 1]:
         return nothing
     tagged = want[NO_FEATURE + 1]
@@ -336,7 +482,7 @@ def fit_blocks(data: Gathered | Spread, rounds: int = 60, least: int = 5) -> Mod
     for _ in range(rounds):
         at = (w.astype(np.float32), bias, start, trans)
         # a tagged word's share of the gradient is the same however many clean documents there are
-        grad = (data.total(lambda b, at=at: expected(b, *at), ["ids", "alive", "features"], "<f4") - want) / tagged
+        grad = (data.total(lambda b, at=at: expected(b, *at), ["ids", "alive", *WEIGHED], "<f4") - want) / tagged
         grad, other = grad[: NO_FEATURE + 1] + 1e-7 * w, grad[NO_FEATURE + 1 :]
         grad[NO_FEATURE] = 0
         g_w += grad**2
@@ -356,9 +502,8 @@ def expected(block: Block, w: np.ndarray, bias: float, start: float, trans: np.n
 
     Forward and backward scores are kept as ratios of the toxic to the clean state.
     """
-    features, ids = block.features.astype(np.intp), block.ids.astype(np.intp)
-    many = len(features) // NAMES
-    e = np.clip(bias + w[features].reshape(NAMES, many).sum(axis=0), -30, 30)
+    ids = block.ids.astype(np.intp)
+    e = np.clip(bias + block.of_forms(w), -30, 30)
     x = np.exp(e).astype(np.float32)[ids]
     (t00, t01), (t10, t11) = np.exp(trans).astype(np.float32)
     alive = block.alive[block.alive > 0].tolist()
@@ -380,12 +525,15 @@ def expected(block: Block, w: np.ndarray, bias: float, start: float, trans: np.n
         pairs += [[t00 * float(g.sum()), t01 * float(g @ u)], [t10 * float(q.sum()), t11 * float(q @ u)]]
     r *= s
     r /= 1 + r
-    return _moments(features, np.bincount(ids, r, many), float(r[: alive[0]].sum(dtype=np.float64)) if alive else 0.0, pairs)
+    return _moments(block, np.bincount(ids, r, len(e)), float(r[: alive[0]].sum(dtype=np.float64)) if alive else 0.0, pairs)
 
 
 def observed(block: Block, toxic: set[str]) -> np.ndarray:
     """What ``expected`` gives, of the block's tags: words with a toxic unit in toxic documents."""
-    flag = np.array([any(u in toxic for u in units(w)) for w in block.forms()], bool)
+    among = pa.array([u.encode("utf-8", "surrogatepass") for u in toxic], pa.binary())
+    flag = np.zeros(block.number(), bool)
+    for names, of in form_units(block):
+        flag |= np.append(pc.is_in(names, among).to_numpy(zero_copy_only=False), False)[of]
     of_doc = np.searchsorted(np.cumsum(block.sizes), block.base, "right")
     bad = block.labels[of_doc] == 1
     cuts = np.r_[0, np.cumsum(block.alive)]
@@ -393,11 +541,11 @@ def observed(block: Block, toxic: set[str]) -> np.ndarray:
     pairs = np.zeros((2, 2))
     for before, now in zip(tags[:-1], tags[1:], strict=True):
         pairs += np.bincount(before[: len(now)] * 2 + now, minlength=4).reshape(2, 2)
-    return _moments(block.features, np.bincount(block.ids, np.concatenate(tags), len(flag)), float(tags[0].sum()), pairs)
+    return _moments(block, np.bincount(block.ids, np.concatenate(tags), len(flag)), float(tags[0].sum()), pairs)
 
 
-def _moments(features: np.ndarray, by_form: np.ndarray, starts: float, pairs: np.ndarray) -> np.ndarray:
-    out = np.bincount(features, np.tile(by_form, NAMES), NO_FEATURE + 7)
+def _moments(block: Block, by_form: np.ndarray, starts: float, pairs: np.ndarray) -> np.ndarray:
+    out = block.of_features(by_form, NO_FEATURE + 7)
     out[NO_FEATURE + 1 :] = by_form.sum(), starts, *pairs.reshape(-1)
     return out
 
@@ -405,14 +553,14 @@ def _moments(features: np.ndarray, by_form: np.ndarray, starts: float, pairs: np
 def _with_evidence(block: Block, model: Model) -> Block:
     """The block's labels, with the evidence of its whole documents as ``base``."""
     w = np.append(model.weights, np.float32(0))
-    e = np.clip(model.bias + w[block.features].reshape(NAMES, -1).sum(axis=0, dtype=np.float64), -30, 30)
+    e = np.clip(model.bias + block.of_forms(w.astype(np.float64)), -30, 30)
     flat = np.empty(len(block.ids))
     place = np.concatenate([block.base[:m] + k for k, m in enumerate(block.alive)])
     flat[place] = e[block.ids]
     first = np.zeros(len(flat), bool)
     first[(np.cumsum(block.sizes) - block.sizes)[block.sizes > 0]] = True
     none = np.zeros(0, np.int64)
-    return Block(none, none, evidence(marginals(flat, first, model.start, model.trans), block.sizes).reshape(-1).view(np.int64), none, block.labels, none, none)
+    return Block(none, none, evidence(marginals(flat, first, model.start, model.trans), block.sizes).reshape(-1).view(np.int64), none, block.labels, *[none] * 4)
 
 
 def _logistic(data: Gathered | Spread, l2: float = 1e-2) -> np.ndarray:
@@ -479,7 +627,7 @@ class Spread:
                 got = dict(zip(columns, b.columns, strict=True))
                 for k in range(b.num_rows):
                     names, toxic, clean = unit_counts(_unpack(got, k))
-                    yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(toxic, pa.int64()), pa.array(clean, pa.int64())], names=["unit", "toxic", "clean"])
+                    yield pa.RecordBatch.from_arrays([names.cast(pa.string()), pa.array(toxic, pa.int64()), pa.array(clean, pa.int64())], names=["unit", "toxic", "clean"])
 
         each = bounded(self.table.select(*columns)).mapInArrow(run, "unit string, toxic bigint, clean bigint")
         sums = materialize(each.groupBy("unit").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).where("toxic > 0"))
@@ -490,7 +638,7 @@ class Spread:
 
     def evidence(self, model: Model) -> Spread:
         """As of ``Gathered``; a new table."""
-        columns = ["ids", "alive", "base", "sizes", "labels", "features"]
+        columns = ["ids", "alive", "base", "sizes", "labels", *WEIGHED]
 
         def run(batches):
             for b in batches:

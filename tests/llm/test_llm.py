@@ -201,6 +201,48 @@ def test_blocks_on_the_cluster_add_up_as_on_the_driver(spark):
     assert np.allclose(a.doc, b.doc, rtol=1e-2, atol=1e-2)
 
 
+def test_words_are_read_in_bulk_as_one_by_one(monkeypatch):
+    rng = np.random.default_rng(15)
+    parts = np.array(["an", "th", "ion", "\u00e9", "\u00f6\u00df", "E", "x9", "_", "q" * 12])
+    texts = [" ".join("".join(rng.choice(parts, n)) for n in rng.integers(1, 6, 400)) for _ in range(30)]
+    texts += ["", "!", "\u00dcber\x85\u00c9t\u00e9\u00a0x\u00b2\x1cy", "\u0391\u03a3\u03a3\u03a3 \u0130stanbul it\u2019s", "\u65e5\u672c\u8a9e\u30c6\u30ad\u30b9\u30c8", "z" * 39 + " " + "\u00e9" * 41, "\ud800abcdefg"]
+    rows = [(t, int(k % 3 == 0)) for k, t in enumerate(texts)]
+    plain = [[w.lower() for w in re.findall(r"\w+", t)] for t in texts]
+    assert list(map(toxicity.words_of, texts)) == plain
+    flat = [w for d in plain for w in d]
+    forms = list(dict.fromkeys(flat))
+    ids = [toxicity.feature_ids(w) for w in forms]
+    weights = rng.normal(size=1 << toxicity.BITS).astype(np.float32)
+    want = dict(zip(forms, [np.clip(-2 + weights[f].sum(), -30, 30) for f in ids]))
+    tallies = {0: Counter(), 1: Counter()}
+    for words, (_, label) in zip(plain, rows):
+        tallies[label].update({u for w in words for u in (w, *(f"{w[:k]}~" for k in (4, 5, 6) if len(w) > k))})
+
+    single = Counter()
+    for name in ("feature_ids", "units"):
+        real = getattr(toxicity, name, None)
+        monkeypatch.setattr(toxicity, name, lambda w, real=real: single.update([w]) or real(w), raising=False)
+
+    def one_by_one_where_rare():  # long words and rare letters; else such calls take most of the CPU time
+        return all(len(w) > 40 or max(w) >= "\u0800" for w in single)
+
+    for limit in (300_000, 50):
+        emit = toxicity.Emissions(weights, -2.0, limit)
+        for k in range(0, len(flat), 1000):
+            assert np.allclose(emit.of(flat[k : k + 1000]), [want[w] for w in flat[k : k + 1000]], atol=1e-5)
+        assert len(emit.new) <= limit
+    assert one_by_one_where_rare()
+    for most in (1, 3000, 250_000):
+        toxic, clean = Counter(), Counter()
+        for b in toxicity.blocks_of(rows, most):
+            names, bad, good = toxicity.unit_counts(b)
+            for u, x, y in zip(names.to_pylist(), bad.tolist(), good.tolist()):
+                toxic[u.decode("utf-8", "surrogatepass")] += x
+                clean[u.decode("utf-8", "surrogatepass")] += y
+        assert +toxic == tallies[1] and +clean == tallies[0]
+    assert one_by_one_where_rare()
+
+
 def brute_components(texts, percent=85):
     sets = {}
     for i, t in texts.items():
