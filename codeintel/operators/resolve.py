@@ -30,18 +30,23 @@ def symbols(raw: DataFrame, files: DataFrame) -> DataFrame:
     """The ``symbols`` table (and ord) of raw symbols (rel_path, ord, and the fields of an extractor's symbol).
 
     Equal (kind, qualified name) in a file get ordinals; the container is the last
-    symbol of its name before.
+    symbol of its name before.  Rows are shuffled once, by path, and never broadcast:
+    Spark sizes them by the few bytes they are made of, not by their texts.
     """
     qualified = F.when(F.col("container").isNull(), F.col("name")).otherwise(F.concat_ws(".", "container", "name"))
-    x = raw.withColumn("qualified_name", qualified).join(files.select("rel_path", "file_id", "repo_id", "language", "is_test"), "rel_path")
-    nth = Window.partitionBy("file_id", "kind", "qualified_name").orderBy("ord")
+    x = raw.withColumn("qualified_name", qualified).hint("merge").join(files.select("rel_path", "file_id", "repo_id", "language", "is_test"), "rel_path")
+    nth = Window.partitionBy("rel_path", "file_id", "kind", "qualified_name").orderBy("ord")
     x = x.withColumn("ordinal", F.row_number().over(nth) - 1)
     x = x.withColumn("symbol_id", ids.symbol_id(F.col("repo_id"), F.col("rel_path"), F.col("kind"), F.col("qualified_name"), F.col("ordinal")))
-    owners = x.select(F.col("file_id").alias("o_file"), F.col("qualified_name").alias("o_name"), F.col("ord").alias("o_ord"), F.col("symbol_id").alias("o_id"))
-    member = x.where("container IS NOT NULL").select("symbol_id", "file_id", "container", "ord")
-    held = member.join(owners, (F.col("file_id") == F.col("o_file")) & (F.col("container") == F.col("o_name")) & (F.col("o_ord") < F.col("ord"))).groupBy("symbol_id").agg(F.max_by("o_id", "o_ord").alias("container_id"))
+    # a row a symbol under its own name; where it has a container, that one only offers its id, and another under the container's name looks for one
+    alone = F.col("container").isNull()
+    owner = F.struct(F.col("qualified_name").alias("key"), F.col("symbol_id").alias("offered"), alone.alias("kept"))
+    member = F.struct(F.col("container").alias("key"), F.lit(None).cast("string").alias("offered"), F.lit(True).alias("kept"))
+    x = x.withColumn("at", F.explode(F.when(alone, F.array(owner)).otherwise(F.array(owner, member)))).withColumns({k: F.col("at")[k] for k in ("key", "offered", "kept")})
+    before = Window.partitionBy("rel_path", "file_id", "key").orderBy("ord").rangeBetween(Window.unboundedPreceding, -1)
+    x = x.withColumn("container_id", F.when(~alone, F.last("offered", ignorenulls=True).over(before))).where("kept")
     lang, name = F.col("language"), F.col("name")
-    return x.join(held, "symbol_id", "left").select(
+    return x.select(
         "symbol_id", "repo_id", "file_id", "rel_path", "name", "qualified_name", "kind",
         R.infer_role(F.col("rel_path"), name, F.col("signature"), F.col("is_test")).alias("role"),
         R.normalize_visibility(F.col("visibility"), lang, name).alias("visibility"),
