@@ -16,6 +16,7 @@ from ..functions import roles as R
 from ..functions.paths import dir_name, join_relative, normalize
 from ..functions.redact import redact
 from ..functions.text import search_text
+from ..shared import cut
 
 JS = ["typescript", "tsx", "javascript", "jsx"]
 JS_EXT = [".ts", ".tsx", ".d.ts", ".js", ".jsx", ".mjs", ".cjs", ".mts", ".cts"]
@@ -57,69 +58,100 @@ def symbols(raw: DataFrame, files: DataFrame) -> DataFrame:
 
 
 # ----- imports -------------------------------------------------------------------
-def _probes(base: Column, extensions: list[str]) -> Column:
-    """``base`` as it is, with each extension, and as a folder with an index file of each."""
-    tails = ["", *extensions, *(f"/{i}{e}" for e in extensions for i in INDEX)]
-    all_ = F.array(*[F.lit(t) for t in tails])
-    # through an array of one, so that the base is worked out once and not for each tail
-    return F.flatten(F.transform(F.array(base), lambda b: F.transform(all_, lambda t: F.concat(b, t))))
+def _tails(extensions: list[str]) -> list[str]:
+    """What may follow a base: nothing, each extension, an index file of each."""
+    return ["", *extensions, *(f"/{i}{e}" for e in extensions for i in INDEX)]
 
 
-def candidates(language: Column, path: Column, spec: Column, aliases: dict[str, list[str]] | None = None, packages: list[tuple[str, str]] | None = None, go_module: str | None = None) -> Column:
-    """array<string>: the paths that an import may mean, the likeliest first.
+#: What may stand before and after a base in each family of languages, the likeliest first.
+RULES = {
+    "js": [("", t) for t in _tails(JS_EXT)],
+    "python": [("", t) for t in _tails([".py", ".pyi"])],
+    "module": [(h, t) for h in ("", "src/", "lib/", "app/") for t in _tails([".py", ".pyi"])],
+    "jvm": [(r, e) for e in (".java", ".kt") for r in JVM_ROOTS],
+    "rust": [("", t) for t in _tails([".rs"])],
+    "go": [("", "*.go")],
+    "plain": [("", t) for t in _tails(PLAIN_EXT)],
+}
+BASES = "array<struct<family:string,base:string>>"
+
+
+def bases(language: Column, path: Column, spec: Column, aliases: dict[str, list[str]] | None = None, packages: list[tuple[str, str]] | None = None, go_module: str | None = None) -> Column:
+    """array<struct<family, base>>: the paths that an import may mean are each base between the ends of its family in ``RULES``.
 
     ``aliases``: patterns and targets of a project's path map; ``packages``: names
     and folders of the workspace's packages; ``go_module``: the root module.  A Go
-    candidate ``folder/*.go`` stands for the first file of that folder.
+    path ``folder/*.go`` stands for the first file of that folder.
     """
-    none = F.array().cast("array<string>")
-    js = F.when(spec.startswith("."), _probes(join_relative(path, F.regexp_replace(spec, r"\.[mc]?js$", "")), JS_EXT))
+    none = F.array().cast(BASES)
+    of = lambda family, base: F.array(F.struct(F.lit(family).alias("family"), base.alias("base"))).cast(BASES)
+    js = F.when(spec.startswith("."), of("js", join_relative(path, F.regexp_replace(spec, r"\.[mc]?js$", ""))))
     bare = []
     for pattern, targets in (aliases or {}).items():
         prefix = pattern.removesuffix("*")
         rest = F.substr(spec, F.lit(len(prefix) + 1))
         for t in targets:
-            bare.append(F.when(spec.startswith(prefix), _probes(normalize(F.concat(F.lit(t.removesuffix("*")), rest)), JS_EXT)).otherwise(none))
+            bare.append(F.when(spec.startswith(prefix), of("js", normalize(F.concat(F.lit(t.removesuffix("*")), rest)))).otherwise(none))
     chosen = F.lit(None).cast("string")
     for name, folder in reversed(packages or []):
         chosen = F.when((spec == name) | spec.startswith(f"{name}/"), F.lit(folder)).otherwise(chosen)
     at = F.when(chosen == "", F.lit("")).otherwise(F.concat(chosen, F.lit("/")))
     if packages:
-        bare += [F.when(chosen.isNotNull(), _probes(F.concat(at, F.lit(x)), JS_EXT)).otherwise(none) for x in ("src/index", "index")]
+        bare += [F.when(chosen.isNotNull(), of("js", F.concat(at, F.lit(x)))).otherwise(none) for x in ("src/index", "index")]
     js = js.otherwise(F.flatten(F.array(*bare)) if bare else none)
     dots = F.length(F.regexp_extract(spec, r"^\.+", 0))
     up = F.repeat(F.lit("../"), dots - 1)
     inside = F.translate(F.substr(spec, dots + 1), ".", "/")
     absolute = F.translate(spec, ".", "/")
-    py_ext = [".py", ".pyi"]
-    python = F.when(spec.startswith("."), _probes(join_relative(path, F.concat(up, inside)), py_ext)).otherwise(F.concat(*[_probes(F.concat(F.lit(p), absolute), py_ext) for p in ("", "src/", "lib/", "app/")]))
-    jvm = F.array(*[F.concat(F.lit(r), absolute, F.lit(e)) for e in (".java", ".kt") for r in JVM_ROOTS])
+    python = F.when(spec.startswith("."), of("python", join_relative(path, F.concat(up, inside)))).otherwise(of("module", absolute))
     seg = F.split(spec, "::")
     head, rest = seg[0], F.slice(seg, F.lit(2), F.greatest(F.size(seg) - 1, F.lit(0)))
     folder = F.when(head == "crate", F.lit("src")).when(head == "super", dir_name(dir_name(path))).otherwise(dir_name(path))
     depths = F.when(F.size(rest) > 0, F.sequence(F.size(rest), F.lit(1), F.lit(-1))).otherwise(F.array().cast("array<int>"))
-    rust = F.when(head.isin("crate", "self", "super"), F.flatten(F.transform(depths, lambda n: _probes(normalize(F.concat_ws("/", folder, F.array_join(F.slice(rest, F.lit(1), n), "/"))), [".rs"])))).otherwise(none)
+    part = lambda n: F.struct(F.lit("rust").alias("family"), normalize(F.concat_ws("/", folder, F.array_join(F.slice(rest, F.lit(1), n), "/"))).alias("base"))
+    rust = F.when(head.isin("crate", "self", "super"), F.transform(depths, part).cast(BASES)).otherwise(none)
     if go_module:
         inner = F.regexp_replace(F.substr(spec, F.lit(len(go_module) + 1)), "^/", "")
-        go = F.when(spec.startswith(go_module), F.array(F.when(inner == "", F.lit("*.go")).otherwise(F.concat(inner, F.lit("/*.go"))))).otherwise(none)
+        go = F.when(spec.startswith(go_module), of("go", F.when(inner == "", F.lit("")).otherwise(F.concat(inner, F.lit("/"))))).otherwise(none)
     else:
         go = none
-    plain = F.when(spec.rlike("^[./]"), _probes(join_relative(path, F.regexp_replace(spec, "^/", "")), PLAIN_EXT)).otherwise(none)
-    return F.when(language.isin(JS), js).when(language == "python", python).when(language.isin("java", "kotlin"), jvm).when(language == "rust", rust).when(language == "go", go).when(language.isin("c", "cpp", "markdown"), plain).otherwise(none)
+    plain = F.when(spec.rlike("^[./]"), of("plain", join_relative(path, F.regexp_replace(spec, "^/", "")))).otherwise(none)
+    return F.when(language.isin(JS), js).when(language == "python", python).when(language.isin("java", "kotlin"), of("jvm", absolute)).when(language == "rust", rust).when(language == "go", go).when(language.isin("c", "cpp", "markdown"), plain).otherwise(none)
+
+
+def candidates(language: Column, path: Column, spec: Column, aliases: dict[str, list[str]] | None = None, packages: list[tuple[str, str]] | None = None, go_module: str | None = None) -> Column:
+    """array<string>: the paths that ``bases`` mean, the likeliest first."""
+    ends = F.create_map(*[x for k, v in RULES.items() for x in (F.lit(k), F.array(*[F.struct(F.lit(h).alias("head"), F.lit(t).alias("tail")) for h, t in v]))])
+    return F.flatten(F.transform(bases(language, path, spec, aliases, packages, go_module), lambda b: F.transform(F.element_at(ends, b["family"]), lambda e: F.concat(e["head"], b["base"], e["tail"]))))
+
+
+def _named(paths: DataFrame) -> DataFrame:
+    """(repo_id, family, base, target, place) of (repo_id, path, target): the few bases that mean a path, so that no import is spelled out in all its ways."""
+    rules = F.array(*[F.struct(F.lit(k).alias("family"), F.lit(h).alias("head"), F.lit(t).alias("tail"), F.lit(n).alias("place")) for k, v in RULES.items() for n, (h, t) in enumerate(v)])
+    p = F.col("path")
+    fits = lambda r: p.endswith(r["tail"]) & p.startswith(r["head"]) & (F.length(p) >= F.length(r["head"]) + F.length(r["tail"]))
+    x = paths.select("repo_id", "path", "target", F.explode(F.filter(rules, fits)).alias("r"))
+    base = F.substr(p, F.length("r.head") + 1, F.length(p) - F.length("r.head") - F.length("r.tail"))
+    return x.select("repo_id", "r.family", base.alias("base"), "target", "r.place")
 
 
 def imports(raw: DataFrame, files: DataFrame, **context) -> DataFrame:
-    """The ``imports`` table (and ord) of raw imports (rel_path, ord, specifier, symbols, is_type_only, line)."""
+    """The ``imports`` table (and ord) of raw imports (rel_path, ord, specifier, symbols, is_type_only, line).
+
+    Imports that mean the same bases are looked up once.
+    """
     at = files.select("rel_path", "file_id", "repo_id", "language")
-    x = raw.join(at, "rel_path").withColumn("c", candidates(F.col("language"), F.col("rel_path"), F.col("specifier"), **context))
-    # one probe for each distinct (file folder, specifier) would be fewer still; one for each import keeps the plan to two joins
-    probes = x.select("file_id", "repo_id", "ord", F.posexplode("c").alias("place", "path"))
+    x = raw.join(at, "rel_path").withColumn("b", bases(F.col("language"), F.col("rel_path"), F.col("specifier"), **context))
+    # what can't be a file is keyed by its own path, so that no task gets all of it
+    x = cut(x.withColumn("b", F.when(F.size("b") > 0, F.col("b")).otherwise(F.array(F.struct(F.lit("").alias("family"), F.col("rel_path").alias("base"))).cast(BASES))))
+    asked = x.where("b[0].family <> ''").select("repo_id", "b").distinct().select("repo_id", "b", F.posexplode("b").alias("nth", "e")).select("repo_id", "b", "nth", "e.family", "e.base")
     known = files.select("repo_id", F.col("rel_path").alias("path"), F.col("file_id").alias("target"))
     go = files.where(F.col("rel_path").endswith(".go")).groupBy("repo_id", dir_name(F.col("rel_path")).alias("d")).agg(F.min_by("file_id", "rel_path").alias("target"))
     known = known.unionByName(go.select("repo_id", F.when(F.col("d") == "", F.lit("*.go")).otherwise(F.concat("d", F.lit("/*.go"))).alias("path"), "target"))
-    hit = probes.join(known, ["repo_id", "path"]).groupBy("file_id", "ord").agg(F.min_by("target", "place").alias("target_file_id"))
+    # written, so that its size is known before the imports are laid out for it: few targets are sent to them instead
+    hit = cut(asked.hint("merge").join(_named(known), ["repo_id", "family", "base"]).groupBy("repo_id", "b").agg(F.min_by("target", F.struct("nth", "place")).alias("target_file_id")))
     external = F.when(F.col("target_file_id").isNull(), R.external_package(F.col("language"), F.col("specifier")))
-    return x.join(hit, ["file_id", "ord"], "left").select("repo_id", "file_id", "rel_path", "specifier", "target_file_id", external.alias("external_package"), "symbols", "is_type_only", "line", "ord")
+    return x.join(hit, ["repo_id", "b"], "left").select("repo_id", "file_id", "rel_path", "specifier", "target_file_id", external.alias("external_package"), "symbols", "is_type_only", "line", "ord")
 
 
 def import_edges(imported: DataFrame) -> DataFrame:

@@ -95,11 +95,11 @@ def raw_references(spark: SparkSession, d: str) -> DataFrame:
 
 def raw_imports(spark: SparkSession, d: str) -> DataFrame:
     """A file for each order's customer imports another, in the way of its language; each fifth an outside package."""
-    k, t = F.col("o_custkey"), F.col("o_orderkey") % 1499 + 1
-    known = table(spark, d, "part").select(F.col("p_partkey").alias("o_custkey"))
-    o = table(spark, d, "orders").join(known, "o_custkey", "left_semi")
-    path, target = _path(k), F.concat(_pick(DIRS, t), F.lit("/m"), t.cast("string"), F.lit("/"), _pick(STEMS, t))
-    lang = P.language_of(path)
+    k, t, path, lang = F.col("o_custkey"), F.col("t"), F.col("rel_path"), F.col("lang")
+    known = table(spark, d, "part").select(F.col("p_partkey").alias("o_custkey")).hint("merge")  # keys are many, if short
+    o = table(spark, d, "orders").select("o_orderkey", "o_custkey").join(known, "o_custkey", "left_semi")
+    o = o.select("o_orderkey", _path(k).alias("rel_path"), (F.col("o_orderkey") % 1499 + 1).alias("t")).withColumn("lang", P.language_of(path)).withColumn("target", F.concat(_pick(DIRS, t), F.lit("/m"), t.cast("string"), F.lit("/"), _pick(STEMS, t)))
+    target = F.col("target")
     up = F.repeat(F.lit("../"), P.depth(path) - 1)
     outside = F.create_map(*[F.lit(x) for kv in EXTERNAL.items() for x in kv])
     inner = (
@@ -110,7 +110,7 @@ def raw_imports(spark: SparkSession, d: str) -> DataFrame:
         .otherwise(F.concat(up, target))
     )
     spec = F.when(F.col("o_orderkey") % 5 == 0, F.coalesce(F.try_element_at(outside, lang), inner)).otherwise(inner)
-    return o.select(path.alias("rel_path"), F.col("o_orderkey").alias("ord"), spec.alias("specifier"), F.array(_name(t * 3, t)).alias("symbols"), F.lit(False).alias("is_type_only"), (F.col("o_orderkey") % 90 + 1).cast("int").alias("line"))
+    return o.select(path, F.col("o_orderkey").alias("ord"), spec.alias("specifier"), F.array(_name(t * 3, t)).alias("symbols"), F.lit(False).alias("is_type_only"), (F.col("o_orderkey") % 90 + 1).cast("int").alias("line"))
 
 
 @_stored

@@ -41,3 +41,24 @@ def test_containers_are_the_last_before(spark):
     assert len(got) == 7
     held = {o: next((k for k, r in got.items() if r.symbol_id == got[o].container_id), None) for o in got}
     assert held == {0: None, 1: 0, 2: None, 3: 2, 4: 3, 5: None, 6: None}
+
+
+def test_an_import_has_few_bases(spark):
+    cases = [("typescript", "src/a.ts", "./b.js"), ("python", "a/b.py", "x.y"), ("python", "a/b.py", "..y"), ("java", "A.java", "a.B"), ("c", "a/b.c", "./c.h"), ("rust", "src/a.rs", "crate::m::n::T"), ("go", "a.go", "ex.com/m/p"), ("json", "a.json", "x")]
+    df = spark.createDataFrame(cases, "l string, p string, s string")
+    n = [len(r.b) for r in df.select(resolve.bases(F.col("l"), F.col("p"), F.col("s"), go_module="ex.com/m").alias("b")).collect()]
+    assert n == [1, 1, 1, 1, 1, 3, 1, 0]
+
+
+def test_named_paths_are_the_candidates(spark):
+    """Looked up by its bases, an import finds the likeliest of its candidates."""
+    paths = ["src/b.ts", "src/b/index.ts", "src/b.d.ts", "src/x/y.py", "x/y/__init__.py", "lib/x/y.pyi", "src/a/B.java", "a/B.kt", "src/m/n.rs", "src/m/mod.rs", "p/z.go", "p/c.go", "a/c.h", "a/c", "src/x.md"]
+    imports = [("src/q.ts", "typescript", "./b.js"), ("src/q.ts", "typescript", "./b/"), ("q.py", "python", "x.y"), ("src/x/q.py", "python", ".y"), ("q.java", "java", "a.B"), ("q.rs", "rust", "crate::m::n::T"), ("q.rs", "rust", "crate::m::o::T"), ("q.go", "go", "ex.com/m/p"), ("a/q.c", "c", "./c"), ("a/q.c", "c", "./c.h"), ("q.md", "markdown", "./src/x"), ("q.ts", "typescript", "react")]
+    langs = {p: lang for p, lang, _ in imports}
+    files = spark.createDataFrame([(p, p, "r", langs.get(p, "go" if p.endswith(".go") else None)) for p in [*paths, *langs]], "rel_path string, file_id string, repo_id string, language string")
+    raw = spark.createDataFrame([(p, i, s, [], False, 1) for i, (p, _, s) in enumerate(imports)], "rel_path string, ord int, specifier string, symbols array<string>, is_type_only boolean, line int")
+    got = {r.ord: r.target_file_id for r in resolve.imports(raw, files, go_module="ex.com/m").collect()}
+    c = spark.createDataFrame([(i, *x) for i, x in enumerate(imports)], "ord int, p string, l string, s string").select("ord", resolve.candidates(F.col("l"), F.col("p"), F.col("s"), go_module="ex.com/m").alias("c"))
+    known = {p: p for p in [*paths, *langs]} | {"p/*.go": "p/c.go", "*.go": "q.go"}
+    assert got == {r.ord: next((known[x] for x in r.c if x in known), None) for r in c.collect()}
+    assert sum(t is not None for t in got.values()) == 11
