@@ -168,18 +168,23 @@ def resolve_references(raw: DataFrame, syms: DataFrame, imported: DataFrame, fil
     In order: the first symbol of that name in the file it is imported from (the
     last import of a name counts); the last one in the same file; the only one
     there is; else, as a guess, the first exported one, or the first.
+
+    References and what their files know lie beside each other, by path, which is
+    unique in ``files``: windows find one in the other, and nothing is shuffled twice.
     """
-    at = files.select("rel_path", "file_id", "repo_id")
-    x = raw.join(at, "rel_path")
     place = F.struct("rel_path", "ord")
-    scope = imported.where("target_file_id IS NOT NULL").select("file_id", "target_file_id", "ord", F.explode("symbols").alias("name")).groupBy("file_id", "name").agg(F.max_by("target_file_id", "ord").alias("scope_file"))
-    local = syms.groupBy("file_id", "name").agg(F.min_by("symbol_id", "ord").alias("first_id"), F.max_by("symbol_id", "ord").alias("last_id"))
+    offered = syms.groupBy(F.col("file_id").alias("scope_file"), "name").agg(F.min_by("symbol_id", "ord").alias("scoped_id"))
+    scope = imported.where("target_file_id IS NOT NULL").select("rel_path", "target_file_id", "ord", F.explode("symbols").alias("name")).groupBy("rel_path", "name").agg(F.max_by("target_file_id", "ord").alias("scope_file"))
+    scope = scope.join(offered, ["scope_file", "name"]).select("rel_path", "name", "scoped_id")
+    local = syms.select("rel_path", "name", F.col("qualified_name").alias("from_symbol"), F.col("symbol_id").alias("own_id"), F.col("ord").alias("own_ord"))
+    x = raw.select("rel_path", "ord", "name", "kind", "line", "from_symbol", F.lit(True).alias("asks"))
+    x = x.unionByName(local, allowMissingColumns=True).unionByName(scope, allowMissingColumns=True).repartition("rel_path")
+    named, inside = Window.partitionBy("rel_path", "name"), Window.partitionBy("rel_path", "from_symbol")
+    x = x.withColumns({"scoped_id": F.max("scoped_id").over(named), "last_id": F.max_by("own_id", "own_ord").over(named)}).withColumn("source_id", F.max_by("own_id", "own_ord").over(inside)).where("asks")
+    x = x.join(files.select("rel_path", "file_id", "repo_id"), "rel_path")
+    x = x.withColumns({k: F.when(F.col(of).isNotNull(), F.col(k)) for k, of in (("scoped_id", "name"), ("last_id", "name"), ("source_id", "from_symbol"))})
     by_name = syms.groupBy("repo_id", "name").agg(F.count("*").alias("n_named"), F.min_by("symbol_id", F.struct((~F.col("is_exported")).alias("x"), place.alias("p"))).alias("any_id"))
-    source = syms.groupBy("file_id", F.col("qualified_name").alias("from_symbol")).agg(F.max_by("symbol_id", "ord").alias("source_id"))
-    x = x.join(scope, ["file_id", "name"], "left")
-    x = x.join(local.select(F.col("file_id").alias("scope_file"), "name", F.col("first_id").alias("scoped_id")), ["scope_file", "name"], "left")
-    x = x.join(local.select("file_id", "name", "last_id"), ["file_id", "name"], "left")
-    x = x.join(by_name, ["repo_id", "name"], "left").join(source, ["file_id", "from_symbol"], "left")
+    x = x.join(by_name, ["repo_id", "name"], "left")
     sure = F.coalesce("scoped_id", "last_id", F.when(F.col("n_named") == 1, F.col("any_id")))
     to = F.coalesce(sure, F.col("any_id"))
     kind = reduce(lambda c, kv: c.when(F.col("kind") == kv[0], F.lit(kv[1])), EDGE_KIND.items(), F.when(F.lit(False), F.lit("")))
@@ -190,9 +195,13 @@ def resolve_references(raw: DataFrame, syms: DataFrame, imported: DataFrame, fil
 
 
 def reference_edges(resolved: DataFrame) -> DataFrame:
-    """One edge for each (kind, source, target): that of the first reference."""
-    x = resolved.where("to_id IS NOT NULL").groupBy("repo_id", "kind", "from_id", "to_id").agg(F.min(F.struct("rel_path", "ord", "file_id", "line", "confidence")).alias("f"))
-    return x.select(ids.edge_id(F.col("kind"), F.col("from_id"), F.col("to_id")).alias("edge_id"), "repo_id", "kind", "from_id", "to_id", F.col("f.file_id").alias("file_id"), F.col("f.line").alias("line"), F.col("f.confidence").alias("confidence"))
+    """One edge for each (kind, source, target): that of the first reference.
+
+    A source lies in one file, so that its path is a key too, by which fresh
+    references are laid out already.
+    """
+    x = resolved.where("to_id IS NOT NULL").groupBy("rel_path", "file_id", "repo_id", "kind", "from_id", "to_id").agg(F.min(F.struct("ord", "line", "confidence")).alias("f"))
+    return x.select(ids.edge_id(F.col("kind"), F.col("from_id"), F.col("to_id")).alias("edge_id"), "repo_id", "kind", "from_id", "to_id", "file_id", F.col("f.line").alias("line"), F.col("f.confidence").alias("confidence"))
 
 
 def counters(resolved: DataFrame, imported: DataFrame) -> dict:

@@ -118,14 +118,19 @@ def imports(spark: SparkSession, d: str) -> DataFrame:
     return resolve.imports(raw_imports(spark, d), files(spark, d), go_module=GO_MODULE)
 
 
+def _references(spark: SparkSession, d: str) -> DataFrame:
+    return resolve.resolve_references(raw_references(spark, d), symbols(spark, d), imports(spark, d), files(spark, d))
+
+
 @_stored
 def resolved(spark: SparkSession, d: str) -> DataFrame:
-    return resolve.resolve_references(raw_references(spark, d), symbols(spark, d), imports(spark, d), files(spark, d))
+    return _references(spark, d)
 
 
 @_stored
 def edges(spark: SparkSession, d: str) -> DataFrame:
-    return resolve.import_edges(imports(spark, d)).unionByName(resolve.reference_edges(resolved(spark, d)))
+    # fresh references lie by file, where those that were stored would be shuffled once more
+    return resolve.import_edges(imports(spark, d)).unionByName(resolve.reference_edges(_references(spark, d)))
 
 
 def packages(spark: SparkSession, d: str) -> DataFrame:

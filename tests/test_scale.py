@@ -62,3 +62,16 @@ def test_named_paths_are_the_candidates(spark):
     known = {p: p for p in [*paths, *langs]} | {"p/*.go": "p/c.go", "*.go": "q.go"}
     assert got == {r.ord: next((known[x] for x in r.c if x in known), None) for r in c.collect()}
     assert sum(t is not None for t in got.values()) == 11
+
+
+def test_references_are_shuffled_once(spark, tmp_path):
+    raw = spark.createDataFrame([("a", 1, "f", "call", 3, "g"), ("a", 2, "f", "call", 4, "g"), ("a", 3, "h", "call", 5, None), ("b", 4, "f", "call", 1, None), ("gone", 5, "f", "call", 1, None), ("b", 6, "nowhere", "call", 1, None)], "rel_path string, ord int, name string, kind string, line int, from_symbol string")
+    syms = spark.createDataFrame([("s1", "r", "A", "a", "f", "f", True, 0), ("s2", "r", "A", "a", "g", "g", True, 1), ("s3", "r", "C", "c", "h", "h", True, 0), ("s4", "r", "C", "c", "f", "f", True, 1), ("s5", "r", "C", "c", "f", "f", True, 2)], "symbol_id string, repo_id string, file_id string, rel_path string, name string, qualified_name string, is_exported boolean, ord int")
+    imported = spark.createDataFrame([("b", "B", "C", 0, ["f"])], "rel_path string, file_id string, target_file_id string, ord int, symbols array<string>")
+    files = spark.createDataFrame([(p, p.upper(), "r") for p in "abc"], "rel_path string, file_id string, repo_id string")
+    resolved = resolve.resolve_references(raw, syms, imported, files)
+    got = {r.ord: (r.from_id, r.to_id, r.confidence) for r in resolved.collect()}
+    assert got == {1: ("s2", "s1", "exact"), 2: ("s2", "s1", "exact"), 3: ("A", "s3", "exact"), 4: ("B", "s4", "exact"), 6: ("B", None, None)}
+    edges = resolve.reference_edges(resolved)
+    assert {(r.from_id, r.to_id, r.file_id, r.line) for r in edges.collect()} == {("s2", "s1", "A", 3), ("A", "s3", "A", 5), ("B", "s4", "B", 1)}
+    assert "hashpartitioning(rel_path#" in (plan := plan_of(edges)) and "kind#" not in "".join(x for x in plan.split("\n") if "Exchange hashpartitioning" in x)
