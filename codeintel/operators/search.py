@@ -23,15 +23,32 @@ def postings(chunks: DataFrame, key: str, text: str, also: list[str] | None = No
     """
     also = also or []
     toks = chunks.select(*also, key, search_tokens(F.col(text)).alias("tok"))
-    each = toks.select(*also, key, F.size("tok").alias("dl"), F.posexplode("tok").alias("pos", "term"))
-    grouped = each.groupBy(*also, key, "dl", "term").agg(F.count("*").cast("int").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
-    return grouped.select(*also, key, "term", "tf", "positions", "dl", bucket_of(F.col("term")).alias("bucket"))
+    each = toks.select(*also, key, F.size("tok").alias("dl"), F.explode(_grouped(F.col("tok"))).alias("t"))
+    return each.select(*also, key, "t.term", F.size("t.positions").alias("tf"), "t.positions", "dl", bucket_of(F.col("t.term")).alias("bucket"))
+
+
+def _grouped(tok: Column) -> Column:
+    """array<struct<term, positions>> of a text's words."""
+    pairs = F.array_sort(F.transform(tok, lambda w, i: F.struct(w.alias("term"), i.alias("pos"))))
+
+    def groups(p: Column, first: Column) -> Column:
+        until = lambda j: F.coalesce(F.get(first, j + 1), F.size(p))
+        return F.transform(first, lambda at, j: F.struct(F.get(p, at)["term"].alias("term"), F.transform(F.slice(p, at + 1, until(j) - at), lambda x: x["pos"]).alias("positions")))
+
+    def firsts(p: Column) -> Column:
+        places = F.transform(p, lambda _, i: i)
+        return F.filter(places, lambda i: (i == 0) | (F.get(p, i)["term"] != F.get(p, i - 1)["term"]))
+
+    # through arrays of one, so that pairs and firsts are worked out once a text
+    one = F.transform(F.array(pairs), lambda p: F.struct(p.alias("p"), firsts(p).alias("first")))
+    return F.flatten(F.transform(one, lambda x: groups(x["p"], x["first"])))
 
 
 def write_index(chunks: DataFrame, key: str, text: str, path: str) -> None:
     """Postings by bucket of the term, sorted by term, and the lengths of all texts: what queries read."""
     p = postings(chunks, key, text)
-    p.repartition(BUCKETS, "bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").mode("overwrite").parquet(f"{path}/postings")
+    # pieces of a bucket, as large as Spark likes them: a piece is sorted in memory, however large the corpus
+    p.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").mode("overwrite").parquet(f"{path}/postings")
     chunks.select(key, F.size(search_tokens(F.col(text))).alias("dl")).write.mode("overwrite").parquet(f"{path}/lengths")
 
 

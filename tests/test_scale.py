@@ -75,3 +75,12 @@ def test_references_are_shuffled_once(spark, tmp_path):
     edges = resolve.reference_edges(resolved)
     assert {(r.from_id, r.to_id, r.file_id, r.line) for r in edges.collect()} == {("s2", "s1", "A", 3), ("A", "s3", "A", 5), ("B", "s4", "B", 1)}
     assert "hashpartitioning(rel_path#" in (plan := plan_of(edges)) and "kind#" not in "".join(x for x in plan.split("\n") if "Exchange hashpartitioning" in x)
+
+
+def test_postings_are_made_in_their_rows(spark):
+    from codeintel.operators import search
+
+    docs = spark.createDataFrame([(1, "b a b c a b"), (2, ""), (3, "x")], "k int, text string")
+    df = search.postings(docs, "k", "text")
+    assert {(r.k, r.term, r.tf, tuple(r.positions), r.dl) for r in df.collect()} == {(1, "a", 2, (1, 4), 6), (1, "b", 3, (0, 2, 5), 6), (1, "c", 1, (3,), 6), (3, "x", 1, (0,), 1)}
+    assert "Exchange" not in plan_of(df) and "Aggregate" not in plan_of(df)
