@@ -178,11 +178,12 @@ def rerank(fused: DataFrame, boost: float = 0.35, most_inbound: int = 40) -> Dat
     return x.withColumns({"final": F.col("fused") * factor, "reasons": why if boost > 0 else F.array(F.lit("text match"))}).drop("inbound_", "siblings", "test_", "build_")
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, key: str, col: str, k: int = 10, block: int = 2048) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, key: str, col: str, k: int = 10, block: int = 2048, piece: int = 512) -> DataFrame:
     """(query_id, key, cosine): the ``k`` nearest of ``vectors`` for each of ``queries``, ties (to six places) by key.
 
-    The queries go in blocks of at most ``block``, so what a task holds has a
-    bound.  A task keeps ``k`` rows a query; only those are shuffled.
+    The queries go in blocks of at most ``block`` on average, and vectors are held
+    against them ``piece`` at a time, so what a task holds has a bound.  A task
+    keeps ``k`` rows a query; only those are shuffled.
     """
     import math
 
@@ -200,18 +201,25 @@ def nearest(vectors: DataFrame, queries: DataFrame, key: str, col: str, k: int =
         q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
 
         def run(batches, ids=ids, q=q):
+            # of each query: its best so far, and what a vector must reach to be among them
             best = [(np.zeros(0), np.zeros(0, np.int64))] * len(ids)
+            bar = np.full(len(ids), -np.inf)
             for batch in batches:
-                names = batch.column(0).to_numpy(zero_copy_only=False)
-                flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-                if not len(names) or not len(ids):
-                    continue
-                x = flat.reshape(len(names), -1)
-                cos = q @ (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)).T
-                for i in range(len(ids)):
-                    c, n = np.concatenate([best[i][0], cos[i]]), np.concatenate([best[i][1], names])
-                    top_ = np.lexsort((n, -np.round(c, 6)))[:k]
-                    best[i] = c[top_], n[top_]
+                for at in range(0, batch.num_rows, piece):
+                    part = batch.slice(at, piece)
+                    names = part.column(0).to_numpy(zero_copy_only=False)
+                    x = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(names), -1)
+                    if not len(ids):
+                        continue
+                    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+                    cos = q @ x.T
+                    near = ~(np.round(cos, 6) < bar[:, None])
+                    for i in np.flatnonzero(near.any(axis=1)):
+                        c, n = np.concatenate([best[i][0], cos[i, near[i]]]), np.concatenate([best[i][1], names[near[i]]])
+                        top_ = np.lexsort((n, -np.round(c, 6)))[:k]
+                        best[i] = c[top_], n[top_]
+                        if len(top_) == k:
+                            bar[i] = np.round(c[top_[-1]], 6)
             out_ = [(ids[i], n, c) for i in range(len(ids)) for c, n in zip(*best[i], strict=True)]
             if out_:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out_, strict=True)], names=["query_id", key, "cosine"])

@@ -84,3 +84,13 @@ def test_postings_are_made_in_their_rows(spark):
     df = search.postings(docs, "k", "text")
     assert {(r.k, r.term, r.tf, tuple(r.positions), r.dl) for r in df.collect()} == {(1, "a", 2, (1, 4), 6), (1, "b", 3, (0, 2, 5), 6), (1, "c", 1, (3,), 6), (3, "x", 1, (0,), 1)}
     assert "Exchange" not in plan_of(df) and "Aggregate" not in plan_of(df)
+
+
+def test_nearest_by_small_pieces(spark):
+    """Pieces smaller than ``k``, ties across them and vectors that aren't numbers give what one piece gives."""
+    from codeintel.operators import search
+
+    rows = [(i, [float(i % 3), 1.0]) for i in range(40)] + [(40, [0.0, 0.0]), (41, [float("nan"), 1.0])]
+    v = spark.createDataFrame(rows, "k long, e array<float>").repartition(2)
+    got = {p: {(r.query_id, r.k, round(r.cosine, 6)) for r in search.nearest(v, v.where("k in (0, 1)"), "k", "e", 5, piece=p).collect()} for p in (3, 10_000)}
+    assert got[3] == got[10_000] and {k for q, k, _ in got[3] if q == 0} == {0, 3, 6, 9, 12}
